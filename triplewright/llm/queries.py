@@ -34,8 +34,27 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removal_digest
+
+    return removal_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_bpe_encode_decode, op6_best_fit_packing, op7_token_counts)
+    f.__name__: f
+    for f in (
+        op5_bpe_encode_decode,
+        op6_best_fit_packing,
+        op7_token_counts,
+        op8_simhash_dedup,
+        op9_substring_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
