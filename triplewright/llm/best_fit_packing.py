@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokenizer_units import Units
+from .byte_level import ByteLevelIds
 
-MIN_SLICE = 2000
-_open: dict[str, Units] = {}
+MIN_SLICE = 256
+_open: dict[str, ByteLevelIds] = {}
 
 
 def _pieces(path: str, end_id: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    units = _open.get(path) or _open.setdefault(path, Units(path, ids=True))
+    units = _open.get(path) or _open.setdefault(path, ByteLevelIds(path))
     end = end_id.to_bytes(4, "little")
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
