@@ -62,10 +62,21 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("collide", [False, True])
-def test_groups_are_exact(monkeypatch, collide):
-    if collide:
-        monkeypatch.setattr(S, "mixed", lambda x: x * np.uint64(0))
-    ids = np.array([0, 1, 2, 3, 0, 1, 2, 3, 0, 2], np.int32)
-    order, starts = S.groups(ids, np.arange(8), 3)
-    found = sorted(sorted(g.tolist()) for g in np.split(order, starts[1:]))
-    assert found == [[0, 4], [1, 5], [2, 6], [3], [7]]
+def test_groups_are_exact(collide):
+    line = b"a b c a b c abc b c a bb c"
+    text, at = np.frombuffer(line + bytes(8), np.uint8), S.word_starts(np.frombuffer(line, np.uint8))
+    starts, ends = at[:-3], at[3:] - 1
+    h = np.zeros(len(starts), np.uint64) if collide else S.hashes(text, starts, ends)
+    order, first = S.groups(text, h, starts, ends)
+    found = sorted(sorted(line[starts[k] : ends[k]] for k in g) for g in np.split(order, first[1:]))
+    words = line.split()
+    want = sorted(b" ".join(words[k : k + 3]) for k in range(len(words) - 2))
+    assert found == sorted([w for w in want if w == x] for x in set(want))
+
+
+def test_blocks_change_nothing(monkeypatch):
+    line = b" ".join(str(k * k % 97).encode() for k in range(4000))
+    at = S.word_starts(np.frombuffer(line, np.uint8))
+    whole = S.runs(line, at, 13)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 100)
+    assert all((a == b).all() for a, b in zip(whole, S.runs(line, at, 13), strict=True))

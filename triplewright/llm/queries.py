@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 
@@ -22,6 +23,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import sign_code, top_k
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return top_k(rows, rows.filter("vec_id % 20 = 0"), k=10)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_removals
+
+    return line_removals(read(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -52,16 +72,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_exact_topk_search,
+        op3_line_dedup,
+        op4_license_scan,
         op5_bpe_encode_decode,
         op6_best_fit_packing,
         op7_token_counts,
         op8_simhash_dedup,
         op9_substring_dedup,
+        op10_quality_rules,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+from .oracles import ORACLE_SQL  # noqa: E402, F401
