@@ -11,19 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .byte_level import SPLIT, byte_letters
 from .tokenizer_units import LONG_UNIT, Units, by_bytes
 
 PAIR_CACHE = 1_000_000
-PIECE_CACHE = 200_000
-# Fixed value: the split pattern of byte-level vocabularies of this family.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in the vocabulary file: printable bytes stand for themselves, others follow from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+PIECE_CACHE = 20_000
 
 
 class Codec:

@@ -15,7 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 
 CACHE_UNITS = 600_000
+CACHE_PIECES = 200_000
+# Closing marks: no vocabulary joins them to a letter or digit before them.
+MARKS = b".,;:!?"
 LONG_UNIT = 512
+# All white space of Unicode and the separators that str.isspace adds, in UTF-8.
+SPACES = tuple(chr(c).encode() for c in range(0x3001) if chr(c).isspace())
 BATCH_BYTES = 128 << 10
 SEGMENT_BYTES = 1 << 20
 
@@ -64,6 +69,7 @@ class Units:
         self.drops_space = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
         self.keeps_space = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec.get("normalizer")
         self.cache: dict[bytes, object] = {}
+        self.pieces: dict[bytes, object] = {}
 
     def library(self, texts: list[bytes]) -> list:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -89,22 +95,69 @@ class Units:
 
     def unsafe(self, unit: bytes, last: bool = False) -> bool:
         """Whether a cut beside this unit (without its leading space) touches other white space."""
-        text = unit.decode("utf-8", "replace")
-        return not text or text[0].isspace() or (not last and text[-1].isspace())
+        if not unit:
+            return True
+        first, end = unit[0], unit[-1]
+        return ((first < 33 or first > 126) and unit.startswith(SPACES)) or (not last and (end < 33 or end > 126) and unit.endswith(SPACES))
+
+    def pieces_of(self, unit: bytes, lead: bytes) -> list[bytes]:
+        """A unit at borders that no token spans: around single line ends, and between a letter or digit and closing marks."""
+        out: list[bytes] = []
+        lines = unit.split(b"\n") if lead else [unit]
+        if len(lines) > 1 and any(self.unsafe(line) for line in lines):
+            return [unit]
+        for k, line in enumerate(lines):
+            if k:
+                out.append(b"\n")
+            stem = line.rstrip(MARKS)
+            if stem and len(stem) < len(line) and stem[-1:].isalnum():
+                out += [stem, line[len(stem) :]]
+            else:
+                out.append(line)
+        return out
 
     def learn(self, units: set[bytes], lead: bytes) -> dict[bytes, object]:
-        """Encode the units that the cache lacks; long ones are returned only, so that the cache stays small."""
+        """Encode units that the cache lacks; values of long ones are returned only, so that the cache stays small."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        new = sorted(units.difference(self.cache))
-        if lead:
-            new = [u for u in new if not self.unsafe(u)]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        cache, pieces = self.cache, self.pieces
         once: dict[bytes, object] = {}
-        for batch in by_bytes(new):
-            for unit, value in zip(batch, self.joined([lead + u for u in batch]), strict=True):
-                (once if len(unit) > LONG_UNIT else self.cache)[unit] = value
+        rest: dict[bytes, object] = {}
+        new, cut, inner = set(), {}, set()
+        for unit in units:
+            if lead and self.unsafe(unit):
+                continue
+            if unit[-1] in MARKS or b"\n" in unit:
+                cut[unit] = first, *more = self.pieces_of(unit, lead)
+                if first not in cache:
+                    new.add(first)
+                inner.update(more)
+            else:
+                new.add(unit)
+        for found, store, spare, front in ((new, cache, once, lead), (inner.difference(pieces), pieces, rest, b"")):
+            for batch in by_bytes(list(found)):
+                for unit, value in zip(batch, self.joined([front + u for u in batch] if front else batch), strict=True):
+                    (spare if len(unit) > LONG_UNIT else store)[unit] = value
+        for unit, (first, *more) in cut.items():
+            if more:
+                value = cache[first] if first in cache else once[first]
+                others = [pieces[p] if p in pieces else rest[p] for p in more]
+                (once if len(unit) > LONG_UNIT else cache)[unit] = b"".join([value, *others]) if self.ids else value + sum(others)
         return once
 
+    def known(self, cut: list[list[bytes]], lead: bytes) -> list[list]:
+        """Values of lists of units; None stands for a unit that is not safe."""
+        get = self.cache.get
+        values = [list(map(get, words)) for words in cut]
+        lacking = [k for k, v in enumerate(values) if None in v]
+        if lacking:
+            once = self.learn({u for k in lacking for u, v in zip(cut[k], values[k], strict=True) if v is None}, lead)
+            for k in lacking:
+                values[k] = [once.get(u, get(u)) if v is None else v for u, v in zip(cut[k], values[k], strict=True)]
+        return values
+
     def encode(self, texts: list[bytes]) -> list:
         """One value a text, in order: ids as bytes, or the number of tokens."""
         if not (self.drops_space or self.keeps_space):
@@ -114,26 +167,17 @@ class Units:
             out += self.dropped(batch) if self.drops_space else self.kept(batch)
         return out
 
-    def total(self, words: list[bytes], once: dict):
-        """The value of consecutive units."""
-        cache = self.cache
-        values = [cache[u] if u in cache else once[u] for u in words] if once else map(cache.__getitem__, words)
+    def total(self, values: list):
         return b"".join(values) if self.ids else sum(values)
 
     def dropped(self, texts: list[bytes]) -> list:
         if len(texts) == 1:
-            parts = []
-            for segment in segments(texts[0]):
-                words = segment.split()
-                parts.append(self.total(words, self.learn(set(words), b"")))
-            return [b"".join(parts) if self.ids else sum(parts)]
-        cut = [t.split() for t in texts]
-        once = self.learn(set().union(*cut), b"")
-        return [self.total(words, once) for words in cut]
+            return [self.total([self.total(self.known([s.split()], b"")[0]) for s in segments(texts[0])])]
+        return [self.total(v) for v in self.known([t.split() for t in texts], b"")]
 
     def kept(self, texts: list[bytes]) -> list:
         cut = [[] if any(s in t for s in self.special) else t.split(b" ") for t in texts]
-        once = self.learn(set().union(*(words[1:-1] for words in cut)), b" ")
+        middle = self.known([words[1:-1] for words in cut], b" ")
         out: list = [b"" if self.ids else 0] * len(texts)
         later, ends = [], []
         for k, words in enumerate(cut):
@@ -142,11 +186,10 @@ class Units:
             if len(words) < 3 or self.unsafe(words[0]) or self.unsafe(words[-1], last=True):
                 out[k] = self.whole(texts[k])
                 continue
-            try:
-                out[k] = self.total(words[1:-1], once)
-            except KeyError:  # a cut beside more white space
+            if None in middle[k]:  # a cut beside more white space
                 out[k] = self.whole(texts[k])
                 continue
+            out[k] = self.total(middle[k])
             later.append(k)
             ends += [words[0], b" " + words[-1]]
         found = self.library(ends) if ends else []
