@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +26,9 @@ PART_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NO_ID = (1 << 63) - 1
-WORD_HASHES = 400_000
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > WORD_HASHES:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
+BLOCK_BYTES = 1 << 18
+_MULT = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2 ** 64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,26 +37,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First windows, ends and minimisers of the runs of consecutive windows that share a minimiser."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    group = min(GROUP, window)
-    g = h[: len(h) - group + 1].copy()
-    for k in range(1, group):
-        g = mixed(g) + h[k : len(h) - group + 1 + k]
-    least, span, width = mixed(g), 1, window - group + 1
-    while span < width:
-        step = min(span, width - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
+def hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2 ** 64 of ranges of bytes, from one running sum."""
+    n = len(text)
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
+            grown = np.full(max(n, BLOCK_BYTES), base, np.uint64)
+            grown[0] = 1
+            _powers[k] = np.cumprod(grown)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
+    return (total[ends] - total[starts]) * _powers[1][starts]
+
+
+def word_starts(line: np.ndarray) -> np.ndarray:
+    """Starts of words that single spaces part, and where one more would start."""
+    return np.concatenate([[0], np.flatnonzero(line == 32) + 1, [len(line) + 1]])
+
+
+def runs(line: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows, ends and minimisers of the runs of consecutive windows that share a minimiser; at: word_starts()."""
+    n = len(at) - window
+    group, text = min(GROUP, window), np.frombuffer(line, np.uint8)
+    least = np.empty(n, np.uint64)
+    begin = 0
+    while begin < n:  # blocks of windows, so that a long text needs little memory
+        end = min(n, max(begin + 1, int(np.searchsorted(at, at[begin] + BLOCK_BYTES)) - window))
+        own = at[begin : end + window] - at[begin]
+        g = mixed(hashes(text[at[begin] : at[end + window - 1] - 1], own[: len(own) - group], own[group:] - 1))
+        span, width = 1, window - group + 1
+        while span < width:
+            step = min(span, width - span)
+            g = np.minimum(g[:-step], g[step:])
+            span += step
+        least[begin:end] = g
+        begin = end
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     ends = np.append(starts[1:], n)
     if (ends - starts).max() > LONGEST:
-        starts = np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(starts, ends, strict=True)])
-        ends = np.minimum(starts + LONGEST, np.append(starts[1:], n))
+        parts = [np.arange(a, b, LONGEST) for a, b in zip(starts, ends, strict=True)]
+        ends = np.concatenate([np.append(p[1:], b) for p, b in zip(parts, ends, strict=True)])
+        starts = np.concatenate(parts)
     return starts, ends, least[starts]
 
 
@@ -78,35 +85,31 @@ class Part:
     """The packed strings of a part, in an order that only its rows decide."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], window: int, buckets: int):
-        self.order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
-        index: dict[bytes, int] = {}
-        low, high, self.found, where, size = [], [], {}, [], []
-        for k in self.order:
-            words = texts[k].split()
-            starts, ends, least = runs(words, window)
-            if not len(starts):
+        strings: list[bytes] = []
+        self.found: dict[int, tuple[np.ndarray, slice]] = {}
+        docs, least, size = [], [], []
+        for k in sorted(range(len(texts)), key=lambda k: (ids[k], texts[k])):
+            line = b" ".join(texts[k].split())
+            at = word_starts(np.frombuffer(line, np.uint8))
+            if len(at) <= window:
                 continue
-            line = b" ".join(words)
-            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-            doc = int(ids[k])
-            mine = np.empty(len(starts), np.int64)
-            bucket = (mixed(least) % np.uint64(buckets)).astype(np.int64).tolist()
-            for r, (a, b, w) in enumerate(zip(at[starts].tolist(), at[ends + window - 1].tolist(), (ends - starts).tolist(), strict=True)):
-                i = index.setdefault(line[a : b - 1], len(low))
-                if i == len(low):
-                    low.append(doc)
-                    high.append(doc)
-                    where.append(bucket[r])
-                    size.append(w)
-                else:
-                    high[i] = doc
-                mine[r] = i
-            self.found[k] = starts, mine
-        self.strings = list(index)
-        self.low, self.high = np.array(low, np.int64), np.array(high, np.int64)
-        self.bucket, self.size = np.array(where, np.int64), np.array(size, np.int32)
-        self.by_bucket = np.argsort(self.bucket, kind="stable")
-        self.cuts = np.searchsorted(self.bucket[self.by_bucket], np.arange(buckets + 1))
+            starts, ends, low = runs(line, at, window)
+            self.found[k] = starts, slice(len(strings), len(strings) + len(starts))
+            strings += [line[a:b] for a, b in zip(at[starts].tolist(), (at[ends + window - 1] - 1).tolist(), strict=True)]
+            docs.append(np.full(len(starts), ids[k]))
+            least.append(low)
+            size.append(ends - starts)
+        number = dict(zip(unique := list(dict.fromkeys(strings)), range(len(strings)), strict=False))
+        self.strings = unique
+        self.index = np.fromiter(map(number.__getitem__, strings), np.int64, len(strings))
+        n = len(unique)
+        self.low, self.high, self.size, bucket = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64)
+        if n:  # ids ascend
+            doc = np.concatenate(docs)
+            self.low[self.index[::-1]], self.high[self.index], self.size[self.index] = doc[::-1], doc, np.concatenate(size)
+            bucket[self.index] = (mixed(np.concatenate(least)) % np.uint64(buckets)).astype(np.int64)
+        self.by_bucket = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
 
 
 def _texts(table: pa.Table, id_at: int, text_at: int) -> tuple[np.ndarray, list[bytes]]:
@@ -131,25 +134,36 @@ def _send(id_at: int, text_at: int, window: int, buckets: int, table: pa.Table)
     return pa.table([pa.array(rows["bucket"], pa.int32()), pa.array(rows["part"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("strings", "sizes", "low", "high"))], list(rows))
 
 
-def groups(ids: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the windows that start at these places, and where in it each group of equal windows starts."""
-    salted = mixed(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(len(at), np.uint64)
-    for k in range(window):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + salted[at + k]
+def equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of size bytes from a and from b hold the same bytes; 8 bytes or more must follow the ranges."""
+    eight = np.ndarray((len(text) - 7,), np.uint64, text, strides=(1,))
+    same, k, live = np.ones(len(a), bool), 0, np.flatnonzero(size > 0)
+    while len(live):
+        rest = size[live] - k
+        differ = eight[a[live] + k] ^ eight[b[live] + k]
+        part = rest < 8
+        differ[part] &= (np.uint64(1) << (8 * rest[part]).astype(np.uint64)) - np.uint64(1)
+        same[live] &= differ == 0
+        k += 8
+        live = live[rest > 8]
+    return same
+
+
+def groups(text: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows (ranges of text with hashes h), and where in it each group of equal windows starts."""
     order = np.argsort(h, kind="stable")
-    there, hs = at[order], h[order]
-    same = hs[1:] == hs[:-1]
-    equal = same.copy()
-    for k in range(window):
-        equal &= ids[there[1:] + k] == ids[there[:-1] + k]
-    if (equal != same).any():  # two different windows share a hash: sort by the words themselves
-        order = np.lexsort([ids[at + k] for k in reversed(range(window))])
-        there = at[order]
-        equal = np.ones(len(at) - 1, bool)
-        for k in range(window):
-            equal &= ids[there[1:] + k] == ids[there[:-1] + k]
-    return order, np.concatenate([[0], np.flatnonzero(~equal) + 1])
+    near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    a, b = order[near], order[near + 1]
+    size = ends - starts
+    if (size[a] == size[b]).all() and equal(text, starts[a], starts[b], size[a]).all():
+        first = np.ones(len(order), bool)
+        first[near + 1] = False
+        return order, np.flatnonzero(first)
+    raw = text.tobytes()  # two different windows share a hash: number the windows themselves
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+    order = np.argsort(which, kind="stable")
+    return order, np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1])
 
 
 def _decide(window: int, table: pa.Table) -> pa.Table:
@@ -157,28 +171,32 @@ def _decide(window: int, table: pa.Table) -> pa.Table:
     import zstandard
 
     pull = zstandard.ZstdDecompressor().decompress
-    words: defaultdict[bytes, int] = defaultdict()
-    words.default_factory = words.__len__
-    ids, sizes, low, high, counts = [], [], [], [], []
+    texts, h, starts, ends, sizes, low, high, counts, base = [], [], [], [], [], [], [], [], 0
     parts = table.column("part").to_pylist()
     by_part = sorted(range(len(parts)), key=parts.__getitem__)
     for k in by_part:
-        line = pull(table.column("strings")[k].as_py()).split(b" ")
-        ids.append(np.fromiter(map(words.__getitem__, line), np.int32, len(line)))
-        sizes.append(np.frombuffer(pull(table.column("sizes")[k].as_py()), np.int32))
+        line = np.frombuffer(pull(table.column("strings")[k].as_py()), np.uint8)
+        size = np.frombuffer(pull(table.column("sizes")[k].as_py()), np.int32).astype(np.int64)
+        word = np.arange(size.sum()) + np.repeat(np.arange(len(size)) * (window - 1), size)
+        at = word_starts(line)
+        a, b = at[word], at[word + window] - 1
+        h.append(hashes(line, a, b))
+        starts.append(a + base)
+        ends.append(b + base)
+        texts.append(line)
+        base += len(line)
+        sizes.append(size)
         low.append(np.frombuffer(pull(table.column("low")[k].as_py()), np.int64))
         high.append(np.frombuffer(pull(table.column("high")[k].as_py()), np.int64))
-        counts.append(len(sizes[-1]))
-    del words
-    all_ids, size = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        counts.append(len(size))
+    size = np.concatenate(sizes)
     owner = np.repeat(np.arange(len(size)), size)  # the string of each window
-    first = np.concatenate([[0], np.cumsum(size)])
-    within = np.arange(first[-1]) - first[owner]
-    at = np.concatenate([[0], np.cumsum(size + window - 1)])[owner] + within
-    order, starts = groups(all_ids, at, window)
+    within = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    order, starts = groups(np.concatenate([*texts, np.zeros(8, np.uint8)]), np.concatenate(h), np.concatenate(starts), np.concatenate(ends))
+    del texts, h, ends
     least = np.minimum.reduceat(np.concatenate(low)[owner][order], starts)
-    smallest = np.empty(len(at), np.int64)
-    smallest[order] = np.repeat(least, np.diff(np.append(starts, len(at))))
+    smallest = np.empty(len(owner), np.int64)
+    smallest[order] = np.repeat(least, np.diff(np.append(starts, len(owner))))
     hit = np.flatnonzero(smallest < np.concatenate(high)[owner])
     if len(hit):  # windows of one string with the same smallest id, one after another, make one entry
         new = np.ones(len(hit), bool)
@@ -221,7 +239,8 @@ def _cut(id_at: int, text_at: int, window: int, buckets: int, digest: bool, docs
         string, offset, length, smallest = string[order], offset[order], length[order], smallest[order]
         first = np.searchsorted(string, np.arange(len(part.strings) + 1))
         many = np.diff(first)
-        for k, (starts, mine) in part.found.items():
+        for k, (starts, own) in part.found.items():
+            mine = part.index[own]
             n = many[mine]
             if not n.any():
                 continue
