@@ -126,10 +126,10 @@ def test_scores(spark):
     vocab = spark.createDataFrame([(w,) for w in ("both", "rare", "new", "few", "multi-head")], "word string")
     scores = spark.createDataFrame(list(s.items()), "term string, score double")
     assert [r.word for r in vocabulary.lowest_words(vocab, scores, 0.5).collect()] == ["few", "rare"]
-    entropy = spark.createDataFrame(list(zip("abcdefg", [0.1, 0.5, 2, 3.3, 9.1, 4.4, 7.7], strict=True)), "term string, entropy double")
+    entropy = spark.createDataFrame(list(zip("abcdefg", [0.1, 0.5, 2.0, 3.3, 9.1, 4.4, 7.7], strict=True)), "term string, entropy double")
     every = entropy.select(F.col("term").alias("word"))
     assert [r.word for r in vocabulary.high_entropy_words(every, entropy, 0.85).collect()] == ["e"]
-    assert len(vocabulary.ngram_distances(DISTANCES)) == 49 - 14
+    assert len(vocabulary.ngram_distances(DISTANCES)) == 49 - 16
 
 
 def test_selection(spark):
@@ -220,12 +220,12 @@ def test_patents(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    for sub, name, text in (("2301", "a v1.txt", "x\ny"), ("2301", "b.txt", ""), ("2302", "c.txt", "z")):
+    for sub, name, text in (("2301", "a v1.txt", "x\ny"), ("2301", "b.txt", "y"), ("2302", "c.txt", "z")):
         (tmp_path / "t" / sub).mkdir(parents=True, exist_ok=True)
         (tmp_path / "t" / sub / name).write_text(text)
     paths = readers.partition_paths([str(tmp_path / "t")], [2023], [1, 2])
     texts = readers.text_files(spark, paths)
-    assert sorted(r.paper_id for r in texts.collect()) == ["a%20v1.txt", "b.txt", "c.txt"] or texts.count() == 3
+    assert sorted(r.paper_id for r in texts.collect()) in (["a v1.txt", "b.txt", "c.txt"], ["a%20v1.txt", "b.txt", "c.txt"])
     assert readers.text_files(spark, paths, texts.filter("text = 'z'")).count() == 2
     (tmp_path / "o.csv").write_text('text,triplets,paper_id\n"a\nb","(a; ""b""; c)",p1\nx,,p2\n')
     assert [tuple(r) for r in readers.answers(spark, str(tmp_path / "o.csv")).collect()] == [("a\nb", '(a; "b"; c)', "p1")]

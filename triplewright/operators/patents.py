@@ -158,13 +158,13 @@ def parsed(documents: DataFrame, column: str = "xml") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, blank = [], dict.fromkeys(FIELDS)
             for xml in b[column]:
                 try:
                     record = parse(xml or "")
-                    rows.append((record or {}) | {"error": None, "skipped": record is None})
+                    rows.append(blank | (record or {}) | {"error": None, "skipped": record is None})
                 except Exception as e:
-                    rows.append({"error": f"{type(e).__name__}: {e}", "skipped": False})
+                    rows.append(blank | {"error": f"{type(e).__name__}: {e}", "skipped": False})
             yield pd.DataFrame(rows, columns=[*FIELDS, "error", "skipped"], dtype=object)
 
     return documents.select(column).mapInPandas(run, f"{schema.PATENT}, error string, skipped boolean")

@@ -18,4 +18,4 @@ PATENT = (
     "section_class_subclasses array<string>, section_class_subclass_groups array<string>, abstract array<string>, "
     "descriptions array<string>, claims array<string>"
 )
-FOOTPRINT = "map<string, map<int, double>>"
+FOOTPRINT = "map<string, map<string, double>>"

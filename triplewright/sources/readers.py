@@ -39,7 +39,7 @@ def pdf_texts(spark: SparkSession, roots: str | list[str], reader: Callable[[byt
 
 
 def text_files(spark: SparkSession, folder: str, done: DataFrame | None = None) -> DataFrame:
-    """paper_id (file name) and text of text files, without those whose paper_id is in done."""
+    """paper_id (file name) and text of text files that are not empty, without those whose paper_id is in done."""
     found = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("paper_id"), F.col("value").alias("text"))
     return found if done is None else found.join(done.select("paper_id").distinct(), "paper_id", "left_anti")
 
