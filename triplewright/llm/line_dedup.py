@@ -72,7 +72,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, keep_first: bool = Tr
     null; rows repeated as a whole are treated alike. An empty table gives an empty result.
     """
     marks = _marks(docs, min_sites, keep_first, id_col, text_col, site_col)
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(marks.select(F.col("key").alias("__key"), F.col("gone").alias("__gone")), "__key", "left")
+    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(marks.select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).hint("merge"), "__key", "left")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(_without(_lines(F.col(text_col)), F.col("__gone")), "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
@@ -84,4 +84,4 @@ def line_removals(docs: DataFrame, min_sites: int = 10, keep_first: bool = True,
     lines = _lines(F.col("text"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
     n = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
-    return plain.join(marks, "key", "left").select("doc_id", n.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.md5(kept.cast("binary")).alias("kept_md5"))
+    return plain.join(marks.hint("merge"), "key", "left").select("doc_id", n.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.md5(kept.cast("binary")).alias("kept_md5"))
