@@ -34,7 +34,7 @@ def test_wrapped_paragraphs(spark):
     words = dict(L.TEMPLATES)["isc"].split()  # the only entry of its name
     wrapped = "\n".join(" ".join(words[k : k + 6]) for k in range(0, len(words), 6))
     out = got(L.license_scan(docs(spark, [(1, f"Title line\n\n{wrapped}\n\nEnd."), (2, wrapped)])))
-    assert [r[:4] for r in out if r[1] != "line"] == [(1, "paragraph", 1, "isc"), (2, "paragraph", 0, "isc"), (2, "text", 0, "isc")]
+    assert [r[:4] for r in out if r[1] != "line"] == [(1, "paragraph", 1, "isc"), (1, "text", 0, "isc"), (2, "paragraph", 0, "isc"), (2, "text", 0, "isc")]
 
 
 def test_odd_rows_and_empty_table(spark):

@@ -51,7 +51,7 @@ def test_line_rules(spark):
     rows = [(k, x) for k, x in enumerate([prose, "", "  ", "R&D costs $5.", "NATO met.", "ab & cd", *bad])]
     out = {r.doc_id: r.f for r in docs(spark, rows).selectExpr("doc_id", "text").withColumn("f", Q.line_fails(__import__("pyspark.sql.functions").sql.functions.col("text"))).collect()}
     assert [out[k] for k in range(6)] == [False] * 6 and [out[k] for k in range(6, 6 + len(bad))] == [True] * len(bad)
-    text = "\n".join([" ".join(f"{prose} {k}" for k in range(i, i + 5)) for i in (0, 10)] + bad)
+    text = "\n".join([" ".join(f"Word{k} and then{k * k} more{k}." for k in range(i, i + 20)) for i in (0, 100)] + bad)
     d = docs(spark, [(1, text), (2, "\n".join(f"{x} {k} {k} {k}" for k in range(9) for x in bad))])
     assert [(r.doc_id, r.text) for r in Q.clean_documents(d).collect()] == [(1, "\n".join(text.split("\n")[:2]))]
 
