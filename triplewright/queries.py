@@ -208,9 +208,9 @@ def bookcorpus_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _low(spark, sf_dir)
 
 
-@query(f"WITH {COUNTS}, {ENTROPY} SELECT term, round(entropy, 6) AS entropy FROM entropy")
+@query(f"WITH {COUNTS}, {ENTROPY} SELECT term, abs(round(entropy, 6)) AS entropy FROM entropy")
 def entropy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entropy(spark, sf_dir).withColumn("entropy", F.round("entropy", 6))
+    return _entropy(spark, sf_dir).withColumn("entropy", F.abs(F.round("entropy", 6)))  # no negative zero
 
 
 @query(f"WITH {REMOVAL} SELECT word FROM high")
