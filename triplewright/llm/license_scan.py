@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 THRESHOLD = 0.8
 # Notices and paragraphs of public licences. A licence of several paragraphs has one entry for each.
 TEMPLATES = [
@@ -69,20 +72,20 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
     if not known:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("unit"), F.lit(0).alias("unit_no"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).limit(0)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(len(g) for _, g in known) * low, max(len(g) for _, g in known) * high
-    units = docs.select(F.col(id_col).alias("doc_id"), F.explode(_units(F.col(text_col))).alias("u")).select("doc_id", "u.*")
+    least = min(len(g) for _, g in known) * low
+    constants = json.dumps([{"license": name, "grams": grams, "n": len(grams)} for name, grams in known])
+    table = F.from_json(F.lit(constants), "array<struct<license: string, grams: array<string>, n: int>>")
+
+    def best(grams: Column) -> Column:
+        size = F.size(grams)
+        fits = F.filter(table, lambda t: (size >= t["n"] * low - 1e-9) & (size <= t["n"] * high + 1e-9))
+        return F.array_min(F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(grams, t["grams"])) / (size + t["n"])).alias("less"), t["license"].alias("license"))))
+
+    def pairs(words: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+        return F.when((F.size(words) > 1) & (F.size(words) - 1 >= least), let(F.array_distinct(every), best))
+
     words = F.filter(F.split(F.lower("body"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    units = units.select("doc_id", "unit", "unit_no", words.alias("words")).filter((F.size("words") > 1) & (F.size("words") - 1 >= least))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    units = units.select("doc_id", "unit", "unit_no", F.array_distinct(pairs).alias("grams")).filter(F.size("grams") <= most)
-    size = F.size("grams")
-    sizes = sorted({len(g) for _, g in known})
-    scores = []
-    for n in sizes:  # one test of the size bounds for all templates of a size
-        fits = (size >= n * low - 1e-9) & (size <= n * high + 1e-9)
-        found = [F.struct((2.0 * F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / (size + n)).alias("dice"), F.lit(name).alias("license")) for name, g in known if len(g) == n]
-        scores.append(F.when(fits, F.array(*found)))
-    every = F.filter(F.flatten(F.filter(F.array(*scores), lambda x: x.isNotNull())), lambda x: x["dice"] >= threshold)
-    named = units.select("doc_id", "unit", "unit_no", every.alias("every")).filter(F.size("every") > 0)
-    first = F.array_min(F.transform(F.filter(F.col("every"), lambda x: x["dice"] == F.col("best")), lambda x: x["license"]))
-    return named.withColumn("best", F.array_max(F.transform("every", lambda x: x["dice"]))).select("doc_id", "unit", "unit_no", first.alias("license"), F.col("best").alias("dice"))
+    units = docs.select(F.col(id_col).alias("doc_id"), F.explode(_units(F.col(text_col))).alias("u")).select("doc_id", "u.*")
+    found = units.select("doc_id", "unit", "unit_no", let(words, pairs).alias("best")).filter(F.col("best.less") <= -threshold)
+    return found.select("doc_id", "unit", "unit_no", "best.license", (-F.col("best.less")).alias("dice"))
