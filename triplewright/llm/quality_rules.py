@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS
+from .common import SPACE_CHARS, SPACE_CLASS, let
 
 SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
@@ -23,7 +24,17 @@ def _squeezed(c: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    trimmed = F.call_function("btrim", text, F.lit(SPACE_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def _filled(line: Column) -> Column:
+    """Whether a line holds a word."""
+    return F.rlike(line, F.lit(f"[^{SPACE_CLASS}]"))
 
 
 def line_fails(line: Column) -> Column:
@@ -33,65 +44,62 @@ def line_fails(line: Column) -> Column:
     shouting: 5 words or more with capitals and without a lower-case letter;
     navigation and boilerplate: under 25 words with a phrase of page furniture, or with 3 or more separators | or \u00bb.
     """
-    body = _squeezed(line)
-    size = F.length(body)
-    symbols = size - F.length(F.translate(body, SYMBOLS, ""))
-    words = F.size(F.split(line, f"[{SPACE_CLASS}]+"))
+    symbols = _count(line, SYMBOL_CLASS)
+    words = _count(line, f"[{SPACE_CLASS}]+") + 1
     phrase = F.rlike(F.lower(line), F.lit("|".join("\\Q" + p + "\\E" for p in NAVIGATION + BOILERPLATE)))
-    bars = F.length(line) - F.length(F.translate(line, "|\u00bb", ""))
-    shouting = (words >= 5) & ~F.rlike(line, F.lit(r"\p{Ll}")) & F.rlike(line, F.lit(r"\p{Lu}"))
-    marks = ((symbols >= 3) & (symbols * 20 >= size)) | ~F.rlike(body, F.lit(r"[\p{L}\p{N}]"))
-    return (size > 0) & (marks | shouting | ((words < 25) & ((bars >= 3) | phrase)))
+    bars = _count(line, "[|\u00bb]")
+    shouting = ~F.rlike(line, F.lit(r"\p{Ll}")) & F.rlike(line, F.lit(r"\p{Lu}")) & (words >= 5)
+    marks = ((symbols >= 3) & (symbols * 20 >= F.length(_squeezed(line)))) | ~F.rlike(line, F.lit(r"[\p{L}\p{N}]"))
+    return _filled(line) & (marks | shouting | ((words < 25) & ((bars >= 3) | phrase)))
 
 
-def _repeated(words: str) -> list[tuple[str, Column]]:
-    """Columns that lead to __n_repeat, the words in windows of 3 that are in the text twice or more.
+def _repeated(words: Column) -> Column:
+    """Number of words in windows of 3 that are in the text twice or more.
 
     Windows are compared by 64-bit hashes of their words. Hashes are sorted once; texts without equal neighbours, which
     are most, end there. Where few windows repeat each position is looked up; else positions are sorted with hashes.
     """
-    w = F.col(words)
-    n = F.size(w)
-    at = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
-    ordered, h, twice = F.col("__sorted"), F.col("__hashes"), F.col("__twice")
-    equal_next = lambda x, i: (i + 1 < F.size(ordered)) & (x == F.get(ordered, i + 1))
-    few = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
-    pairs = F.col("__pairs")
-    many_pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    beside = lambda x, i: ((i > 0) & (F.get(pairs, F.greatest(i - 1, F.lit(0)))["h"] == x["h"])) | ((i + 1 < F.size(pairs)) & (F.get(pairs, i + 1)["h"] == x["h"]))
-    many = F.sort_array(F.transform(F.filter(pairs, beside), lambda x: x["i"]))
-    starts = F.col("__starts")
-    covered = F.aggregate(
-        F.transform(starts, lambda s, i: F.when(i + 1 < F.size(starts), F.least(F.lit(3), F.get(starts, i + 1) - s)).otherwise(F.lit(3))),
-        F.lit(0),
-        lambda a, b: a + b,
-    )
-    return [
-        ("__hashes", hashes),
-        ("__sorted", F.sort_array(h)),
-        ("__twice", F.array_distinct(F.filter(ordered, equal_next))),
-        ("__pairs", F.when(F.size(twice) > FEW, many_pairs)),
-        ("__starts", F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) <= FEW, few).otherwise(many)),
-        ("__n_repeat", F.coalesce(covered, F.lit(0))),
-    ]
+
+    def covered(starts: Column) -> Column:
+        reach = F.transform(starts, lambda s, i: F.when(i + 1 < F.size(starts), F.least(F.lit(3), F.get(starts, i + 1) - s)).otherwise(F.lit(3)))
+        return F.aggregate(reach, F.lit(0), lambda a, b: a + b)
+
+    def beside(pairs: Column) -> Column:
+        equal = lambda x, i: F.coalesce(F.get(pairs, F.greatest(i - 1, F.lit(0)))["h"] == x["h"], F.lit(False)) & (i > 0) | F.coalesce(F.get(pairs, i + 1)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(pairs, equal), lambda x: x["i"]))
+
+    def starts(hashes: Column, twice: Column) -> Column:
+        few = F.filter(F.transform(hashes, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
+        many = let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), beside)
+        return F.when(F.size(twice) <= FEW, few).otherwise(many)
+
+    def counted(hashes: Column) -> Column:
+        doubles = lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(x == F.get(s, i + 1), F.lit(False))))
+        twice = let(F.sort_array(hashes), doubles)
+        return let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(let(starts(hashes, t), covered)))
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(windows, counted))
 
 
 def _judged(docs: DataFrame, text_col: str, min_kept: int) -> DataFrame:
-    """docs with the columns __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat, __base_failed, __clean and __kept."""
+    """docs with __words (n, chars, repeat), __lines (dup, all, passed), __symbols, __base_failed and __kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumns({"__words": _words(text), "__lines": F.split(text, "\n")})
-    for name, column in _repeated("__words"):
-        d = d.withColumn(name, column)
-    chars = F.length(_squeezed(text))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    filled = F.filter(F.col("__lines"), lambda x: _squeezed(x) != "")
-    clean = F.array_join(F.filter(F.col("__lines"), lambda x: ~line_fails(x)), "\n")
-    d = d.withColumns({"__n_words": F.size("__words"), "__word_chars": chars, "__n_symbols": symbols, "__filled": filled, "__clean": clean})
-    d = d.withColumn("__n_dup_lines", F.size("__filled") - F.size(F.array_distinct("__filled")))
-    d = d.withColumn("__base_failed", (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat").cast("bigint") > MAX_REPEAT_PERCENT * F.col("__n_words").cast("bigint")))
-    kept = 100 * F.length(_squeezed(F.col("__clean"))).cast("bigint") >= min_kept * F.col("__word_chars").cast("bigint")
-    return d.withColumn("__kept", ~F.col("__base_failed") & kept)
+    words = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("repeat")))
+    lines = let(
+        F.split(text, "\n"),
+        lambda l: F.struct(
+            let(F.filter(l, _filled), lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("dup"),
+            F.size(l).alias("all"),
+            F.filter(l, lambda x: ~line_fails(x)).alias("passed"),
+        ),
+    )
+    d = docs.withColumns({"__words": words, "__lines": lines, "__symbols": _count(text, SYMBOL_CLASS)})
+    w, passed = F.col("__words"), F.col("__lines.passed")
+    failed = (w["n"] < MIN_WORDS) | (100 * w["repeat"].cast("bigint") > MAX_REPEAT_PERCENT * w["n"].cast("bigint"))
+    left = 100 * F.length(_squeezed(F.array_join(passed, "\n"))).cast("bigint") >= min_kept * w["chars"].cast("bigint")
+    kept = F.when(F.size(passed) == F.col("__lines.all"), F.lit(min_kept <= 100)).otherwise(left)
+    return d.withColumns({"__base_failed": failed, "__kept": ~failed & kept})
 
 
 def quality_rules(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,11 +111,11 @@ def quality_rules(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, id_col: str
     result. Nothing is shuffled: each row is judged by its own text.
     """
     d = _judged(docs.select(id_col, text_col), text_col, min_kept)
-    counts = {"n_words": "__n_words", "word_chars": "__word_chars", "n_symbols": "__n_symbols", "n_dup_lines": "__n_dup_lines", "n_repeat_words": "__n_repeat"}
+    counts = {"n_words": "__words.n", "word_chars": "__words.chars", "n_symbols": "__symbols", "n_dup_lines": "__lines.dup", "n_repeat_words": "__words.repeat"}
     return d.select(F.col(id_col).alias("doc_id"), *(F.col(c).cast("bigint").alias(n) for n, c in counts.items()), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def clean_documents(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality_rules() keeps, all columns, without the lines that fail."""
     d = _judged(docs, text_col, min_kept).filter("__kept")
-    return d.withColumn(text_col, F.col("__clean")).select(*docs.columns)
+    return d.withColumn(text_col, F.array_join("__lines.passed", "\n")).select(*docs.columns)
