@@ -53,9 +53,9 @@ def lookup(left: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     are joined by a shuffle in which no key is large. weight is dropped. how: inner or left_semi.
     """
     least = max(2, total // HOT_KEYS)
-    hot = F.broadcast(table.filter(F.col(weight) > least).drop(weight).limit(HOT_KEYS + 1))
+    hot = F.broadcast(table.filter(F.col(weight) > least).drop(weight))
     cold = table.filter(F.col(weight) <= least).drop(weight)
-    rest = left.join(F.broadcast(table.filter(F.col(weight) > least).select(key).limit(HOT_KEYS + 1)), key, "left_anti")
+    rest = left.join(F.broadcast(table.filter(F.col(weight) > least).select(key)), key, "left_anti")
     return left.join(hot, key, how).unionByName(rest.join(cold, key, how))
 
 

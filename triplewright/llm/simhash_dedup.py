@@ -213,6 +213,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_co
     found = near_duplicates(docs, width, radius, id_col, text_col, with_key=True)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = stage(first.select(F.col("first.key").alias("__key")), "survivors")
-    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(keys, "__key", "left_semi")
+    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(keys.hint("merge"), "__key", "left_semi")
     repeated = found.groupBy("key").count().filter("count > 1").limit(1).count()
     return (kept.dropDuplicates(["__key"]) if repeated else kept).drop("__key")
