@@ -138,6 +138,12 @@ def test_selection(spark):
     assert ids(selection.in_categories(df, ["cs.CL"])) == ["a"] and ids(selection.in_categories(df, ["cs.CL"], True)) == ["b", "c"]
     assert ids(selection.in_categories(df, [])) == [] and ids(selection.in_categories(df, [], True)) == ["a", "b", "c"]
     assert selection.sample(df, 1, "id").count() == 1 and selection.sample(df, 0.5, "id").count() == 1 and selection.sample(df, 9, "id").count() == 3
+    many = spark.range(1000).withColumnRenamed("id", "n")
+    for size, n in ((0.25, 250), (0.999, 999), (1, 1), (617, 617), (1000, 1000), (5000, 1000), (0.0001, 0)):
+        drawn = selection.sample(many, size, "n")
+        assert drawn.columns == ["n"] and drawn.distinct().count() == n == drawn.count()
+    assert selection.sample(many, 100, "n").collect() != selection.sample(many, 100, "n", seed=1).collect()
+    assert T.lemmatised_text("The cats , ran .", str.lower) == "the cats ran"
     assert selection.in_language(df, ["x"], lambda t: "x" if t == "math" else 1 / 0, text="categories").count() == 1
     assert ids(selection.missing(df, df.filter("id = 'a'"), "id")) == ["b", "c"]
 

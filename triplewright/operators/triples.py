@@ -51,6 +51,11 @@ def lemmatised(df: DataFrame, lemmatise: Callable[[str], str] | None) -> DataFra
     return mapped(df, run)
 
 
+def lemmatised_text(text: str, lemmatise: Callable[[str], str]) -> str:
+    """Lemmas of the words of a text, without marks that stand alone."""
+    return " ".join(lemmatise(w) for w in text.split() if any(c.isalnum() for c in w))
+
+
 def long_terms(df: DataFrame, least: int) -> DataFrame:
     return filled(mapped(df, lambda c: T.long_words(c, least), ("subject", "object")))
 
