@@ -45,7 +45,7 @@ class Codec:
         for token, i in ids.items():
             self.matcher.add_word(raw[token].decode("latin-1"), (i, len(raw[token])))
         self.matcher.make_automaton()
-        of = {b: i for i, b in self.bytes_of.items() if i in self.rank}
+        of = self.token_of = {b: i for i, b in self.bytes_of.items() if i in self.rank}
         self.shorter = {i: next((of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in of), None) for b, i in of.items()}
         top = max(self.bytes_of) + 1
         self.offsets = np.zeros(top + 1, np.int64)
@@ -89,13 +89,14 @@ class Codec:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
+        whole = self.token_of.get(piece)
+        if whole is not None:
+            return [whole]
         best: list[int] = [0] * len(piece)
         for end, (token, n) in self.matcher.iter(piece.decode("latin-1")):
             best[end - n + 1] = token  # later ends are longer
         open_at = bytearray(b"\x01" * (len(piece) + 1))
         size = self.bytes_of
-        if best and len(size[best[0]]) == len(piece):
-            return [best[0]]
         out: list[int] = []
         at, token = 0, best[0] if best else None
         while at < len(piece):
@@ -117,6 +118,8 @@ class Codec:
         return out
 
     def encode_plain(self, text: str) -> list[int]:
+        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):
+            return self.encode_piece(text.encode())  # one pre-token
         known = self.pieces
         out: list[int] = []
         for piece in self.pattern.findall(text):
@@ -161,7 +164,10 @@ class BacktrackingUnits(Units):
     def library(self, texts: list[bytes]) -> list[bytes]:
         return [self.codec.encode_text(t) for t in texts]
 
-    joined = library
+    def joined(self, units: list[bytes]) -> list[bytes]:
+        """As library(), for units without special strings."""
+        plain = self.codec.encode_plain
+        return [b"".join([i.to_bytes(4, "little") for i in plain(u.decode("utf-8", "replace"))]) for u in units]
 
 
 _open: dict[str, BacktrackingUnits] = {}
