@@ -17,7 +17,7 @@ BITS = 18
 SAMPLE = 8_192  # labelled documents that a model is fitted on, at most
 EPOCHS = 3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
-TOKEN_CACHE = 400_000
+TOKEN_CACHE = 150_000
 _MASK = np.uint64((1 << BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
