@@ -92,7 +92,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), at, width)) for at, width in segments]
         # met before: a smaller difference in any segment, or the same one in an earlier segment
         first = ~F.greatest(F.lit(False), *((apart[a] < radius) | ((F.lit(a) < F.col("segment")) & (apart[a] == radius)) for a in range(m)))
-        hits = _probes(open_codes, segments, radius).join(buckets.hint("merge"), "key").withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
+        dealt = open_codes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")  # each code makes very many probes
+        hits = _probes(dealt, segments, radius).join(buckets.hint("merge"), "key").withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
         fresh = hits.filter((F.col("d") <= F.col("kth")) & first).select("q", "d", F.explode("ids").alias("id"))
         state = stage(_least(state.unionByName(fresh), "q", ["d", "id"], keep), "nearest")
         bound = m * (radius + 1) - 1
