@@ -51,6 +51,7 @@ class Codec:
         self.offsets = np.zeros(top + 1, np.int64)
         self.offsets[1:] = np.cumsum([len(self.bytes_of.get(i, b"")) for i in range(top)])
         self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
+        self.sizes = [len(self.bytes_of.get(i, b"")) for i in range(top)]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.pattern = regex.compile(SPLIT)
@@ -96,16 +97,20 @@ class Codec:
         for end, (token, n) in self.matcher.iter(piece.decode("latin-1")):
             best[end - n + 1] = token  # later ends are longer
         open_at = bytearray(b"\x01" * (len(piece) + 1))
-        size = self.bytes_of
+        size, shorter, pairs = self.sizes, self.shorter, self.pairs
         out: list[int] = []
         at, token = 0, best[0] if best else None
         while at < len(piece):
             last = out[-1] if out else None
             while token is not None:
-                end = at + len(size[token])
-                if open_at[end] and (last is None or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                end = at + size[token]
+                if open_at[end]:
+                    if last is None:
+                        break
+                    fits = pairs.get((last, token))
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
             if token is not None:
                 out.append(token)
                 at = end
@@ -114,7 +119,7 @@ class Codec:
             else:  # nothing fits from here: never end a token here again
                 open_at[at] = 0
                 token = out.pop()
-                at -= len(size[token])
+                at -= size[token]
         return out
 
     def encode_plain(self, text: str) -> list[int]:
