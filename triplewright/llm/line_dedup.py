@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lookup, row_key, stage
+from .common import SPACE_CHARS, let, lookup, row_key, stage
 
 LG_K = 10  # a sketch of up to 2 ** LG_K registers: a standard error of about 3.3 % once it is full
 SIGMAS = 4  # estimates within so many standard errors of the threshold are counted exactly
@@ -73,7 +73,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, keep_first: bool = Tr
     """
     marks = _marks(docs, min_sites, keep_first, id_col, text_col, site_col)
     joined = docs.withColumn("__key", row_key(id_col, text_col)).join(marks.select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).hint("merge"), "__key", "left")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(_without(_lines(F.col(text_col)), F.col("__gone")), "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(let(_lines(F.col(text_col)), lambda x: F.array_join(_without(x, F.col("__gone")), "\n")))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
@@ -82,6 +82,6 @@ def line_removals(docs: DataFrame, min_sites: int = 10, keep_first: bool = True,
     plain = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     marks = _marks(docs, min_sites, keep_first, id_col, text_col, site_col)
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, lambda x: F.array_join(_without(x, F.col("gone")), "\n")))
     n = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
     return plain.join(marks.hint("merge"), "key", "left").select("doc_id", n.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.md5(kept.cast("binary")).alias("kept_md5"))
