@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ CITATION = "".join(
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, wherever the optimiser copies the expression."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Words between Unicode white space; none for an empty text."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import let, tokens
 
 # A triple in an answer, and its three parts (greedy).
 FOUND = r"\(.+?;.+?;.+?\)"
@@ -32,8 +32,9 @@ def without(part: Column, words: list[str]) -> Column:
 
 def lean_predicate(predicate: Column, fillers: list[str], trim: bool = False) -> Column:
     """A predicate of several words without filler verbs and words of one character; a single word stays as it is."""
-    several = F.array_join(F.filter(tokens(predicate), lambda w: (F.length(w) > 1) & ~w.isin(fillers)), " ")
-    return F.when(F.size(tokens(predicate)) > 1, several).otherwise(F.trim(predicate) if trim else predicate)
+    several = lambda words: F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(fillers)), " ")
+    single = F.trim(predicate) if trim else predicate
+    return let(tokens(predicate), lambda words: F.when(F.size(words) > 1, several(words)).otherwise(single))
 
 
 def long_words(part: Column, least: int) -> Column:
@@ -43,8 +44,8 @@ def long_words(part: Column, least: int) -> Column:
 
 def no_repeats(part: Column) -> Column:
     """Words that differ from the one before."""
-    words = tokens(part)
-    return F.array_join(F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0))))), " ")
+    differ = lambda words: F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0)))))
+    return let(tokens(part), lambda words: F.array_join(differ(words), " "))
 
 
 def short(part: Column, most: int) -> Column:

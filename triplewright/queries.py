@@ -124,6 +124,7 @@ def _high(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _cleaned(spark, sf_dir).persist()  # equal plans below read what is kept
     return vocabulary.union(vocabulary.rare_words(_cleaned(spark, sf_dir), LEAST_FREQUENCY), _low(spark, sf_dir), _high(spark, sf_dir))
 
 
