@@ -15,11 +15,12 @@ def _file_name(suffix: str) -> F.Column:
     return F.format_string("%02d%02d.%05dv%d." + suffix, 20 + k % 4, 1 + k % 12, k, 1 + F.col("doc_id") % 2)
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paper_id and triplets: up to 20 triples of six words of each document."""
+def answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """paper_id and triplets: triples of six words of each document, the first 20 as in ANSWERS_SQL or all of the whole text."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     d = read(spark, sf_dir, "documents").select("doc_id", _file_name("txt").alias("paper_id"), w.alias("w"))
-    n = F.least(F.lit(20), F.floor(F.size("w") / 6)).cast("int")
+    every = F.floor(F.size("w") / 6)
+    n = (every if whole else F.least(F.lit(20), every)).cast("int")
     six = lambda i: [F.element_at("w", 6 * i + k) for k in range(1, 7)]
     one = lambda i: F.format_string("(%s %s; %s %s; %s %s)", *six(i))
     listed = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<string>"))

@@ -464,7 +464,7 @@ def abbrev_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lemma_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.lemmatised(_parsed(spark, sf_dir), lambda x: " ".join(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in x.split()))
+    return T.lemmatised(T.parsed(views.answers(spark, sf_dir, whole=True)), lambda x: " ".join(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in x.split()))
 
 
 @query()
