@@ -18,3 +18,8 @@ def long_texts(spark, tmp_path_factory):
 def test_triples_of_whole_texts(spark, long_texts):
     rows = [r for r in QUERIES["lemma_stub"](spark, long_texts).collect() if r.paper_id.startswith("2102.00001v1")]
     assert len(rows) == 150 and any("word899" in r.object for r in rows)
+
+
+def test_patents_of_whole_texts(spark, long_texts):
+    rows = [str(r) for r in QUERIES["patent_parse"](spark, long_texts).collect()]
+    assert any("word899 tail" in r for r in rows) and any("Late LSM use" in r for r in rows)

@@ -51,12 +51,15 @@ def labelled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category"), "text")
 
 
-def patent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patent-like records of documents: title, abstract, claims, descriptions and a classification string."""
+def patent_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Patent-like records of documents: title, abstract, claims, descriptions and a classification string.
+
+    The last description ends at character 570 as in PATENTS_SQL, or has all the rest of a whole text.
+    """
     d = read(spark, sf_dir, "documents")
     part = lambda a, n: F.substring("text", a, n)
     code = F.format_string("%sG%02d%s %d/%02d", F.lit(""), F.col("doc_id") % 90 + 1, F.when(F.col("doc_id") % 2 == 0, "F").otherwise("K"), F.col("doc_id") % 400 + 1, F.col("doc_id") % 80 + 10)
-    return d.select(F.col("doc_id").cast("string").alias("publication_number"), part(1, 40).alias("publication_title"), F.array(part(41, 120), part(161, 60)).alias("abstract"), F.array(part(221, 100)).alias("claims"), F.array(part(321, 200), part(521, 50)).alias("descriptions"), code.alias("code"))
+    return d.select(F.col("doc_id").cast("string").alias("publication_number"), part(1, 40).alias("publication_title"), F.array(part(41, 120), part(161, 60)).alias("abstract"), F.array(part(221, 100)).alias("claims"), F.array(part(321, 200), F.expr("substring(text, 521)") if whole else part(521, 50)).alias("descriptions"), code.alias("code"))
 
 
 TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"

@@ -480,7 +480,7 @@ def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def patent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.patent_rows(spark, sf_dir)
+    p = views.patent_rows(spark, sf_dir, whole=True)
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     xml = F.concat(
         F.lit('<us-patent-grant file="'), F.col("publication_number"), F.lit('-1.XML" date-produced="20200101"><us-bibliographic-data-grant><publication-reference><document-id><date>20200107</date></document-id></publication-reference><application-reference appl-type="utility"><document-id><doc-number>1</doc-number><date>20190101</date></document-id></application-reference><classifications-cpc><classification-cpc-text>'),
