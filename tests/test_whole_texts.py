@@ -15,6 +15,12 @@ def long_texts(spark, tmp_path_factory):
     return home
 
 
+def test_abbreviations_of_whole_texts(spark, long_texts):
+    lines = {r.doc_id: r.lines for r in QUERIES["abbrev_expand"](spark, long_texts).collect()}
+    assert lines[1][-2] == "Late Long Short Memory use" and lines[1][-1].startswith("A Deep Neural Network and")
+    assert lines[2][0].endswith(f"{PROSE} tail")
+
+
 def test_triples_of_whole_texts(spark, long_texts):
     rows = [r for r in QUERIES["lemma_stub"](spark, long_texts).collect() if r.paper_id.startswith("2102.00001v1")]
     assert len(rows) == 150 and any("word899" in r.object for r in rows)

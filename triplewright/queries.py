@@ -458,7 +458,7 @@ def change_log_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def abbrev_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.array(F.concat(F.lit("Deep Neural Network (DNN) models. "), F.substring("text", 1, 200)), F.lit("A DNN and dnn, not DNNs."))
+    lines = F.concat(F.split(F.concat(F.lit("Deep Neural Network (DNN) models. "), "text"), "\n"), F.array(F.lit("A DNN and dnn, not DNNs.")))
     return views.read(spark, sf_dir, "documents").select("doc_id", abbreviations.expanded(lines).alias("lines"))
 
 
