@@ -49,8 +49,9 @@ def test_exact_count_near_the_threshold(spark):
 def test_odd_rows(spark):
     rows = [(k, t, "src0") for k, t in ODD]
     assert got(L.line_removals(docs(spark, rows), 1)) == brute(rows, 1)
-    d = docs(spark, rows).selectExpr("*", "1 AS h", "2 AS pos", "3 AS gone", "4 AS n")
+    d = docs(spark, rows).selectExpr("*", "1 AS h", "2 AS pos", "3 AS gone", "4 AS n", "5 AS key", "6 AS __key", "7 AS _Key", "8 AS __gone")
     out = L.drop_boilerplate(d, 1, keep_first=False)
+    assert {tuple(r)[5:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
     assert out.columns == d.columns and out.count() == len(ODD)
     assert {r.text for r in out.collect() if r.doc_id in (1, 4, 11)} == {None, "", "\n"}
 

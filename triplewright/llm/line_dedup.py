@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, lookup, row_key, stage
+from .common import SPACE_CHARS, free, let, lookup, row_key, stage
 
 LG_K = 10  # a sketch of up to 2 ** LG_K registers: a standard error of about 3.3 % once it is full
 SIGMAS = 4  # estimates within so many standard errors of the threshold are counted exactly
@@ -46,8 +46,11 @@ def boilerplate(lines: DataFrame, min_sites: int) -> tuple[DataFrame, int]:
 
 
 def _marks(docs: DataFrame, min_sites: int, keep_first: bool, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """key and gone (ascending line positions) of each distinct row that loses a line."""
-    lines = line_rows(docs, id_col, text_col, site_col)
+    """key and gone (ascending line positions) of each distinct row that loses a line.
+
+    Texts are split and hashed once; sketches, exact counts and hits all read the staged hashes.
+    """
+    lines = stage(line_rows(docs, id_col, text_col, site_col), "lines")
     table, total = boilerplate(lines, min_sites)
     hits = lookup(lines.select("key", "doc_id", "pos", "h"), table, "h", "n", total)
     if keep_first:
@@ -69,11 +72,13 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, keep_first: bool = Tr
     Lines end at \\n and are compared without ASCII white space at their ends, by a 64-bit hash; lines without a word
     stay. With keep_first the earliest occurrence (least doc_id, then position; null ids last) of a line stays, so that
     no content leaves the corpus. Null sites count as one site. Texts without such lines are unchanged, null texts stay
-    null; rows repeated as a whole are treated alike. An empty table gives an empty result.
+    null; rows repeated as a whole are treated alike. Columns of any other name pass through. An empty table gives an
+    empty result.
     """
     marks = _marks(docs, min_sites, keep_first, id_col, text_col, site_col)
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(marks.select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).hint("merge"), "__key", "left")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(let(_lines(F.col(text_col)), lambda x: F.array_join(_without(x, F.col("__gone")), "\n")))
+    key, gone = free(docs, "key"), free(docs, "gone")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(marks.toDF(key, gone).hint("merge"), key, "left")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(let(_lines(F.col(text_col)), lambda x: F.array_join(_without(x, F.col(gone)), "\n")))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
