@@ -144,7 +144,7 @@ def test_plans_hold_every_item():
     for size in (8, 64, 1024):
         counts = np.zeros(size + 1, np.int64)
         np.add.at(counts, rng.integers(1, size + 1, 5000), 1)
-        groups = B.plan(counts, size)
+        groups, _ = B.plan(counts, size)
         used = np.zeros(size + 1, np.int64)
         for held, bins in groups:
             assert bins > 0 and sum(length * each for length, each in held) <= size
@@ -154,6 +154,25 @@ def test_plans_hold_every_item():
         assert sum(g[1] for g in groups) <= sum(g[1] for g in B.pack_rest(counts, size))
 
 
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_patterns_carry_the_plan(name):
+    import pyarrow.parquet as pq
+
+    from triplewright.llm.byte_level import ByteLevelIds
+
+    units, counts = ByteLevelIds(vocabulary(BYTE)), np.zeros(1025, np.int64)
+    texts = [(t or "").encode() for t in pq.read_table(f"/root/testdata/{name}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for at in range(0, len(texts), 500):
+        for ids in units.encode(texts[at : at + 500]):
+            n = len(ids) // 4 + 1
+            np.add.at(counts, [1024] * ((n - 1) // 1024) + [n - (n - 1) // 1024 * 1024], 1)
+    groups, placed = B.plan(counts, 1024)
+    assert placed > 0.6 * counts.sum()
+    short = counts[:1024].sum()
+    assert placed - counts[1024] > 0.4 * short  # without the pieces that fill a sequence alone
+    assert sum(g[1] for g in groups) <= 1.005 * -(-int((counts * np.arange(1025)).sum()) // 1024)
+
+
 def test_patterns_and_fit():
     rows = B.patterns(np.arange(1, 20), 20)
     assert (rows.sum(1) == 20).all() and len({tuple(sorted(r)) for r in rows.tolist()}) == len(rows)

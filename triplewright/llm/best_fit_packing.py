@@ -123,30 +123,55 @@ def pack_rest(counts: np.ndarray, size: int) -> list[tuple[list[tuple[int, int]]
     return [g for groups in open_bins.values() for g in groups]
 
 
-def plan(counts: np.ndarray, size: int, depth: int = 3) -> list[tuple[list[tuple[int, int]], int]]:
-    """Bins as groups for a histogram of lengths: fitted patterns rounded down, the residual packed by best fit.
+def fitted(counts: np.ndarray, size: int, depth: int, filler: int) -> tuple[list[tuple[list[tuple[int, int]], int]], np.ndarray]:
+    """Groups of patterns whose repeat counts are fitted to the lengths of filler or more, and the histogram that is left.
 
-    The repeat counts are tried at three scales (1, 0.9 and 0) and the plan with the fewest sequences is taken.
-    Depends on the histogram only, so its size is bounded by the sequence size whatever the number of documents.
+    Counts are rounded down first; then the patterns of largest remainders (a half or more) are taken once more, as
+    far as pieces last. A piece of the full size is a pattern by itself.
     """
-    rows = patterns(np.flatnonzero(counts), size, depth)
-    x = nnls(rows, counts)
-    best: list | None = None
-    for scale in (1.0, 0.9, 0.0):
-        rest = counts.astype(np.int64).copy()
-        groups = []
-        for p in np.flatnonzero(x * scale >= 1):
-            items = [int(v) for v in rows[p] if v]
-            need = {v: items.count(v) for v in items}
-            times = min(int(x[p] * scale), *(int(rest[v]) // n for v, n in need.items()))
-            if times > 0:
-                groups.append((sorted(need.items(), reverse=True), times))
-                for v, n in need.items():
-                    rest[v] -= n * times
+    rest = counts.astype(np.int64).copy()
+    groups = [([(size, 1)], int(rest[size]))] if rest[size] else []
+    rest[size] = 0
+    used = rest.copy()
+    used[:filler] = 0
+    rows = patterns(np.flatnonzero(used), size, depth)
+    x = nnls(rows, used)
+    whole = np.floor(x).astype(np.int64)
+    more = x - whole
+    some = np.flatnonzero(x > 0)
+    rounds = [(p, int(whole[p])) for p in some[np.argsort(-x[some], kind="stable")]]
+    rounds += [(p, 1) for p in some[np.argsort(-more[some], kind="stable")] if more[p] >= 0.5]
+    for p, wanted in rounds:
+        lengths, each = np.unique(rows[p][rows[p] > 0], return_counts=True)
+        times = min(wanted, int((rest[lengths] // each).min()))
+        if times > 0:
+            groups.append((sorted(zip(lengths.tolist(), each.tolist(), strict=True), reverse=True), times))
+            rest[lengths] -= each * times
+    return groups, rest
+
+
+def plan(counts: np.ndarray, size: int, depth: int = 3) -> tuple[list[tuple[list[tuple[int, int]], int]], int]:
+    """Bins as groups for a histogram of lengths, and how many of the pieces are in fitted patterns.
+
+    Patterns carry every plan. Plans differ in the length below which pieces are held back as filler for the residual
+    (0 to size / 4), and in the depth of patterns; the one with fewest sequences is taken, on ties that with most
+    pieces in patterns. The residual is packed by best fit. All depends on the histogram only, so its size is bounded
+    by the sequence size whatever the number of documents.
+    """
+    total = int(counts.sum())
+    best: tuple | None = None
+    ways = [[(2, 0)]] + [[(2, 0), (depth, size // 4)]] * (depth > 2) + [[(depth, size * k // 16)] for k in range(5) if depth > 2]
+    for way in ways:
+        groups, rest = [], counts
+        for deep, filler in way:  # what pairs leave over may still make threes
+            more, rest = fitted(rest, size, deep, filler)
+            groups += more
+        placed = total - int(rest.sum())
         groups += pack_rest(rest, size)
-        if best is None or sum(g[1] for g in groups) < sum(g[1] for g in best):
-            best = groups
-    return best or []
+        key = (sum(g[1] for g in groups), -placed)
+        if best is None or key < best[0]:
+            best = key, groups
+    return (best[1], -best[0][1]) if best else ([], 0)
 
 
 def _slots(groups: list) -> dict[int, tuple[np.ndarray, ...]]:
@@ -186,8 +211,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, dep
     A row's ids are those of the tokenizers library without special tokens, then end_id. Rows longer than size are cut
     into pieces of size, the first of which may be shorter. Pieces are grouped by length; only the histogram (size
     numbers) goes to the driver, which enumerates patterns of 2 to depth lengths that fill a sequence, fits their
-    repeat counts by non-negative least squares, rounds them down and packs the residual by best fit. Each piece then
-    takes the slot of its rank within its length. Ranks are counted in salted slices, so that one length may hold any
+    repeat counts by non-negative least squares, rounds them and packs the residual, with the short pieces held back
+    as filler, by best fit (plan()). Each piece then takes the slot of its rank within its length. Ranks are counted in salted slices, so that one length may hold any
     share of the rows.
     Null and empty texts are one piece of length 1. Repeated rows are packed each. An empty table gives an empty result.
     """
@@ -198,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, dep
     counts = np.zeros(size + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # size rows at most
         counts[length] = n
-    slots = _slots(plan(counts, size, depth))
+    slots = _slots(plan(counts, size, depth)[0])
     each = max(MIN_SLICE, int(counts.sum()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     slices = max(1, -(-int(counts.max()) // each))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)))
