@@ -48,6 +48,47 @@ def test_odd_rows(spark):
     assert got(S.near_duplicates(docs(spark, ODD).selectExpr("*", "1 AS fp", "2 AS rep"))) == brute(ODD)
 
 
+def test_all_ids_of_64_bits(spark):
+    ids = [-(2**63), -(2**62) - 1, -1, 0, 2**62 - 1, 2**62, 2**62 + 5, 2**62 + 6, 2**63 - 2, 2**63 - 1, None]
+    rows = [(k, f"text number {n // 2 % 3} of the words") for n, k in enumerate(ids)] + [(2**62 + 9, ""), (None, None)]
+    assert got(S.near_duplicates(docs(spark, rows))) == brute(rows)
+
+
+def test_ids_of_text(spark):
+    rows = docs(spark, [(1, "a b c d"), (2, "a b c d"), (3, "e f g h")]).selectExpr("concat('x', doc_id) AS doc_id", "text")
+    assert [r[2] for r in got(S.near_duplicates(rows))] == ["x1", "x1", "x3"]
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(rows).collect()) == ["x1", "x3"]
+
+
+def test_groups_are_bounded_and_every_pair_meets(spark):
+    from triplewright.llm.components import components
+
+    rng, most = np.random.default_rng(5), 200
+    base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    center = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64))
+    p = np.unique(np.concatenate([base, base ^ np.uint64(5), center]))
+    prints = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp bigint").repartition(4)
+    want = np.arange(len(p))
+    for a in range(len(p)):
+        b = np.flatnonzero(np.bitwise_count(p ^ p[a]) <= 3)
+        S.merge(want, np.full(len(b), a), b)
+    while (want != want[want]).any():
+        want = want[want]
+    roots = {r.node: r.root for r in components(S.forest(prints, len(p), 3, most)).collect()}
+    found = [roots.get(int(x), int(x)) for x in p.view(np.int64)]
+    assert len(set(found)) == len(set(want)) == len(set(zip(found, want.tolist(), strict=True)))
+    tree = S.Tree(p[::40], 4, 3)
+    rows = [(leaf, int(p[k].view(np.int64)), bool(g)) for leaf, mine, guest in tree.route(p) for k, g in zip(mine, guest, strict=True)]
+    dealt = S.groups(spark.createDataFrame(rows, "shard int, fp bigint, guest boolean"), most)
+    sizes = dealt.groupBy("shard", "block", "slice").count().collect()
+    assert len(sizes) > 12 and max(r["count"] for r in sizes) <= 3 * most
+
+
+def test_clashing_columns_pass_through(spark):
+    d = docs(spark, [(1, "a b c d"), (2, "a b c d")]).selectExpr("*", "7 AS __key", "8 AS key", "9 AS `group`")
+    assert [tuple(r)[5:] for r in S.drop_near_duplicates(d).collect()] == [(7, 8, 9)]
+
+
 def test_null_ids_only(spark):
     rows = [(None, "same text here"), (None, "same text here"), (None, "x y z w v")]
     assert [r[2] for r in got(S.near_duplicates(docs(spark, rows)))] == [None] * 3
