@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triplewright.llm.best_fit_packing import pack
 from triplewright.llm.common import read, stage
-from triplewright.llm.jaccard_dedup import drop_similar
 from triplewright.llm.line_dedup import drop_boilerplate
 from triplewright.llm.quality_classifier import drop_low_quality
 from triplewright.llm.queries import vocabulary
+from triplewright.llm.simhash_dedup import drop_near_duplicates
 from triplewright.llm.substring_dedup import remove_repeats
 
 
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are linked by a Jaccard similarity of 0.8 or more stays."""
-    return drop_similar(docs)
+    return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

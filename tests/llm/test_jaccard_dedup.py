@@ -72,3 +72,35 @@ def test_prefixes_of_similar_sets_meet():
         if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
             for common in (x[:0], rng.permutation(x)[: n // 2]):
                 assert len(np.intersect1d(J.prefix(x, 80, common), J.prefix(y, 80, common)))
+
+
+def test_short_prefixes_of_hashed_sets_meet():
+    import numpy as np
+
+    rng, shorter = np.random.default_rng(4), 0
+    for n in range(1, 3000, 7):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        own = rng.choice(x, len(x) - len(x) // 9, replace=False)
+        y = np.unique(np.concatenate([own, rng.integers(0, 2**63, len(x) // 9, dtype=np.uint64)]))
+        if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+            for common in (x[:0], rng.permutation(own)[: n // 2]):
+                a, b = (J.prefix(s, 80, common, J.MISS) for s in (x, y))
+                assert len(np.intersect1d(a, b))
+                shorter += len(a) < len(J.prefix(x, 80, common))
+    assert shorter > 100
+
+
+def test_slices_and_packed_sets_change_nothing(spark, sf, monkeypatch):
+    import numpy as np
+
+    for name, value in {"SLICE": 7, "BUCKET": 40, "SPOKES": 5, "BLOCK": 3}.items():
+        monkeypatch.setattr(J, name, value)
+    d = table(spark, sf)
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    rows += [(1000 + k, " ".join(f"same{i}" if i % 17 != k % 17 or i > 60 else f"own{k}x{i}" for i in range(90))) for k in range(60)]
+    rows += [(2000 + k, " ".join([f"t{k}y{i}" for i in range(15)] + [f"pass{i}" for i in range(70)])) for k in range(40)]
+    want, linked = brute(rows)
+    assert linked and kept(corpus_pipeline.near_duplicates(spark, docs(spark, rows), sf)) == sorted(want)
+    x = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    assert (J.unpacked(J.packed(x)) == x >> np.uint64(24)).all()
+    assert len(J.unpacked(J.packed(x[:0]))) == 0

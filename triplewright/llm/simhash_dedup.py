@@ -20,6 +20,22 @@ SHARD = 65_536  # residents a group, and points that they are compared with
 LEAF = 512
 
 
+def bits_of(hashes: np.ndarray, times: np.ndarray | None = None) -> int:
+    """The bits that are set in over half the hashes, each counted times; none give 0."""
+    if not len(hashes):
+        return 0
+    times = np.ones(len(hashes), np.int64) if times is None else times
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        rows = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64)
+        part = times[at : at + (1 << 15)]
+        ones += rows.sum(0, dtype=np.int64)
+        more = part > 1
+        if more.any():
+            ones += (rows[more] * (part[more] - 1)[:, None]).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > times.sum(), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over word shingles with repeats: a bit is 1 if set in over half the hashes; no words give 0."""
     from xxhash import xxh64_intdigest
