@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 # Filler verbs that a predicate of several words loses.
 FILLER_VERBS = (
     "can will shall may could would should has are is have was were had do does did am be being been get got gets getting gotten "
@@ -36,6 +39,7 @@ class Loading:
     average_abstract_length: int = 1250
     max_num_pages: int = 100
     seed: int = 42
+    split_sentences: Callable[[Column], Column] | None = None  # in place of the regular expression
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,10 @@ class Extraction:
     max_new_tokens: int = 400
     num_lines_per_model_call: int = 15
     use_fewshot_prompting: bool = True
+    use_sampling: bool = False
+    temperature: float = 1.0
+    top_p: float = 1.0
+    seed: int = 42
 
 
 @dataclass(frozen=True)

@@ -8,12 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: citations in brackets: a year or number with letters, digits and marks beside it, or a number alone.
-CITATION = "".join(
-    (
-        r"\[\d{4}[a-zA-Z0-9 .,!/\-\"']*\]|\[[0-9]+\]|\[[a-zA-Z0-9 .,!/\-\"']*\d{4}\]|",
-        r"\([a-zA-Z0-9 .,!/\-\"']*\d{4}\)|\(\d{4}[a-zA-Z0-9 .,!/\-\"']*\)|\([0-9]+\)",
-    )
-)
+CITATION = r"""\[\d{4}[a-zA-Z0-9 .,!/\-"']*\]|\[\d+\]|\[[a-zA-Z0-9 .,!/\-"']*\d{4}\]|\([a-zA-Z0-9 .,!/\-"']*\d{4}\)|\(\d{4}[a-zA-Z0-9 .,!/\-"']*\)|\(\d+\)"""
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,14 +68,12 @@ def sentences(text: Column) -> Column:
 
 
 def joined_et_al(sentences: Column) -> Column:
-    """Sentences, each of which that ends with 'et al.' is joined with the next."""
-    empty = F.array().cast("array<string>")
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        sentences,
-        empty,
-        lambda acc, s: F.when((F.size(acc) > 0) & F.coalesce(F.endswith(F.try_element_at(acc, F.lit(-1)), F.lit("et al.")), F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last(acc), s)))).otherwise(F.concat(acc, F.array(s))),
-    )
+    """Sentences, each of which that ends with 'et al.' is joined with the next; each is read once, through the places where runs begin."""
+    none = F.array().cast("array<string>")
+    goes_on = lambda s, i: F.coalesce(F.endswith(F.get(s, i - 2), F.lit("et al.")), F.lit(False))
+    begins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | ~goes_on(s, F.greatest(i, F.lit(2))))
+    run = lambda s, at: F.transform(at, lambda i, k: F.array_join(F.slice(s, i, F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i), " "))
+    return F.when(F.size(sentences) > 0, let(sentences, lambda s: let(begins(s), lambda at: run(s, at)))).otherwise(F.when(sentences.isNotNull(), none))
 
 
 def chunks(lines: Column, size: int) -> Column:
@@ -118,6 +111,13 @@ def change_mask(old: Column, starts: Column, ends: Column) -> Column:
     return F.when(F.length(old) == 0, F.lit("")).otherwise(F.array_join(marks, ""))
 
 
+def change_log(old: Column, new: Column, line: Column, starts: Column, ends: Column, kind: str) -> Column:
+    """An entry of a change log: the old line, its mask, where and why it changed, and the new line."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    where = F.concat(F.lit("Line: "), line.cast("string"), F.lit(", start: "), listed(starts), F.lit(", end: "), listed(ends), F.lit(f", type: {kind}"))
+    return F.concat(F.concat_ws("\n", old, change_mask(old, starts, ends), where, new), F.lit("\n\n\n"))
+
+
 def name_of(first: Column, last: Column) -> Column:
     part = lambda c: F.nullif(F.nullif(c, F.lit("unknown")), F.lit(""))
     return F.trim(F.concat_ws(" ", part(first), part(last)))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, tokens
-
 # A triple in an answer, and its three parts (greedy).
 FOUND = r"\(.+?;.+?;.+?\)"
 PARTS = r"\((.+);(.+);(.+)\)"
@@ -25,28 +23,42 @@ def plain(part: Column) -> Column:
     return F.regexp_replace(F.lower(part), "[^a-zA-Z0-9 -]", "")
 
 
+# The ends of a word between Unicode white space.
+BEGIN, END = r"(?U)(?<!\S)", r"(?!\S)"
+
+
+def squeezed(part: Column) -> Column:
+    """Words with one space between them."""
+    return F.regexp_replace(F.regexp_replace(part, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+
+
+def _dropped(part: Column, pattern: str) -> Column:
+    return squeezed(F.regexp_replace(part, BEGIN + pattern + END, ""))
+
+
+def _any_of(words: list[str]) -> str:
+    return "(?:" + "|".join("\\Q" + w + "\\E" for w in words) + ")"
+
+
 def without(part: Column, words: list[str]) -> Column:
-    listed = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    return F.array_join(F.filter(tokens(part), lambda w: ~F.array_contains(listed, w)), " ")
+    return _dropped(part, _any_of(words)) if words else squeezed(part)
 
 
 def lean_predicate(predicate: Column, fillers: list[str], trim: bool = False) -> Column:
     """A predicate of several words without filler verbs and words of one character; a single word stays as it is."""
-    several = lambda words: F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(fillers)), " ")
-    single = F.trim(predicate) if trim else predicate
-    return let(tokens(predicate), lambda words: F.when(F.size(words) > 1, several(words)).otherwise(single))
+    several = _dropped(predicate, "(?:" + "|".join([*([_any_of(fillers)] if fillers else []), r"\S"]) + ")")
+    return F.when(F.rlike(predicate, F.lit(r"(?U)\S\s+\S")), several).otherwise(F.trim(predicate) if trim else predicate)
 
 
 def long_words(part: Column, least: int) -> Column:
     """The words of more than least characters."""
-    return F.array_join(F.filter(tokens(part), lambda w: F.length(w) > least), " ")
+    return _dropped(part, rf"\S{{1,{least}}}") if least > 0 else squeezed(part)
 
 
 def no_repeats(part: Column) -> Column:
     """Words that differ from the one before."""
-    differ = lambda words: F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0)))))
-    return let(tokens(part), lambda words: F.array_join(differ(words), " "))
+    return F.regexp_replace(squeezed(part), BEGIN + r"(\S+)(?: \1)+" + END, "$1")
 
 
 def short(part: Column, most: int) -> Column:
-    return F.size(tokens(part)) <= most
+    return F.regexp_count(part, F.lit(r"(?U)\S+")) <= most

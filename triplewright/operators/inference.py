@@ -57,8 +57,8 @@ def generate(prompted: DataFrame, model: Callable[[list[str]], list[str]] = stan
 
 
 def extract(texts: DataFrame, settings: Extraction | None = None, model: Callable[[list[str]], list[str]] = stand_in, examples: list[dict[str, str]] | None = None, batch: int = 16) -> DataFrame:
-    """text, triplets and paper_id of each chunk of texts (paper_id, sentences)."""
+    """text, triplets, paper_id and chunk_no of each chunk of texts (paper_id, sentences)."""
     s = settings or Extraction()
     asked = prompts(line_chunks(texts, s.num_lines_per_model_call), examples if s.use_fewshot_prompting else None)
     said = generate(asked, model, batch)
-    return said.select("text", B.answer(F.col("output"), s.model_type).alias("triplets"), "paper_id")
+    return said.select("text", B.answer(F.col("output"), s.model_type).alias("triplets"), "paper_id", "chunk_no")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Cleaning
@@ -18,15 +18,27 @@ def english_stopwords() -> list[str]:
 
 
 def parsed(answers: DataFrame) -> DataFrame:
-    """paper_id, pos, subject, predicate, object of the triples in answers (paper_id, triplets); pos counts within a row."""
-    found = answers.filter(F.col("triplets").isNotNull()).select("paper_id", F.posexplode(T.parse(F.col("triplets"))).alias("pos", "t"))
-    return found.select("paper_id", "pos", "t.*")
+    """paper_id, pos, subject, predicate, object of the triples in answers (paper_id, triplets, chunk_no).
+
+    pos counts through all rows of a paper, in the order of chunk_no, so (paper_id, pos) names a triple. Without
+    chunk_no a paper's rows are taken in the order of their text. Rows without triples are left out.
+    """
+    order = "chunk_no" if "chunk_no" in answers.columns else "triplets"
+    said = answers.filter(F.col("triplets").isNotNull())
+    found = said.select("paper_id", F.col(order).alias("row"), F.posexplode(T.parse(F.col("triplets"))).alias("k", "t"))
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("row", "k")) - 1
+    return found.select("paper_id", place.alias("pos"), "t.*")
 
 
 def mapped(df: DataFrame, f: Callable, fields: tuple[str, ...] = T.FIELDS) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c in fields})
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df through a generator of one row: filters above it read its values instead of computing them again."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(c) for c in df.columns)))))
+
+
 def filled(df: DataFrame) -> DataFrame:
     return df.filter("subject <> '' AND object <> ''")
 
@@ -34,7 +46,7 @@ def filled(df: DataFrame) -> DataFrame:
 def drop_stopwords(df: DataFrame, fillers: list[str], stopwords: list[str], trim: bool = False) -> DataFrame:
     """Subjects and objects without stopwords, predicates without fillers; triples that lose a subject or object go."""
     out = mapped(df, lambda c: T.without(c, stopwords), ("subject", "object"))
-    return filled(out.withColumn("predicate", T.lean_predicate(F.col("predicate"), fillers, trim)))
+    return filled(once(out.withColumn("predicate", T.lean_predicate(F.col("predicate"), fillers, trim))))
 
 
 def lemmatised(df: DataFrame, lemmatise: Callable[[str], str] | None) -> DataFrame:
@@ -57,29 +69,45 @@ def lemmatised_text(text: str, lemmatise: Callable[[str], str]) -> str:
 
 
 def long_terms(df: DataFrame, least: int) -> DataFrame:
-    return filled(mapped(df, lambda c: T.long_words(c, least), ("subject", "object")))
+    return filled(once(mapped(df, lambda c: T.long_words(c, least), ("subject", "object"))))
 
 
 def not_repeated(df: DataFrame) -> DataFrame:
     return mapped(df, T.no_repeats, ("subject", "object"))
 
 
+def is_short(most: int) -> Column:
+    return T.short(F.col("subject"), most) & T.short(F.col("predicate"), most) & T.short(F.col("object"), most)
+
+
 def short_parts(df: DataFrame, most: int) -> DataFrame:
-    return df.filter(T.short(F.col("subject"), most) & T.short(F.col("predicate"), most) & T.short(F.col("object"), most))
+    return df.filter(is_short(most))
 
 
-def cleaned(df: DataFrame, settings: Cleaning | None = None, lemmatise: Callable[[str], str] | None = None) -> DataFrame:
-    """All cleaning steps in order; the papers that are left are those with triples before the last one."""
+def judged(df: DataFrame, settings: Cleaning | None = None, lemmatise: Callable[[str], str] | None = None) -> DataFrame:
+    """All cleaning steps in order; kept says whether a triple passes the last one, the limit on words a part.
+
+    A paper that earlier steps empty is gone; one whose triples are all too long is still there, without kept ones.
+    """
     s = settings or Cleaning()
     stopwords = english_stopwords() if s.stopwords is None else list(s.stopwords)
     out = drop_stopwords(mapped(df, T.plain), list(s.filler_verbs), stopwords, s.trim)
     out = long_terms(lemmatised(out, lemmatise if s.use_lemmatization else None), s.min_num_characters)
-    return short_parts(not_repeated(out), s.max_length)
+    return once(not_repeated(out).withColumn("kept", is_short(s.max_length)))
+
+
+def cleaned(df: DataFrame, settings: Cleaning | None = None, lemmatise: Callable[[str], str] | None = None) -> DataFrame:
+    """The triples that judged() keeps; papers without any are not among them, see nested() and summary() of judged()."""
+    return judged(df, settings, lemmatise).filter("kept").drop("kept")
+
+
+def _kept(df: DataFrame) -> Column:
+    return F.col("kept") if "kept" in df.columns else F.lit(True)
 
 
 def nested(df: DataFrame) -> DataFrame:
-    """paper_id and triplets in order."""
-    every = F.array_sort(F.collect_list(F.struct("pos", *T.FIELDS)))
+    """paper_id and triplets in order; of judged triples the kept ones, so that a paper may have none."""
+    every = F.array_sort(F.collect_list(F.when(_kept(df), F.struct("pos", *T.FIELDS))))
     return df.groupBy("paper_id").agg(F.transform(every, lambda x: F.struct(*(x[f].alias(f) for f in T.FIELDS))).alias("triplets"))
 
 
@@ -88,8 +116,10 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Papers, triples and triples a paper."""
-    return df.agg(F.count_distinct("paper_id").alias("n_papers"), F.count(F.lit(1)).alias("n_triples"), (F.count(F.lit(1)) / F.count_distinct("paper_id")).alias("triples_a_paper"))
+    """Papers, triples and triples a paper; of judged triples the kept ones over all their papers."""
+    papers = df.groupBy("paper_id").agg(F.count_if(_kept(df)).alias("n"))
+    total = papers.agg(F.count(F.lit(1)).alias("n_papers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_triples"))
+    return total.withColumn("triples_a_paper", F.try_divide("n_triples", "n_papers"))
 
 
 def graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Filtering, Loading, Settings
@@ -12,6 +12,7 @@ from ..functions import abbreviations
 from ..functions import text as X
 from ..operators import inference, patents, selection, vocabulary
 from ..operators import triples as T
+from ..staging import stage
 
 
 def loaded(papers: DataFrame, s: Loading | None = None, done: DataFrame | None = None) -> DataFrame:
@@ -26,16 +27,18 @@ def loaded(papers: DataFrame, s: Loading | None = None, done: DataFrame | None =
     if s.filter_for_terms_in_abstract:
         out = selection.with_terms(out, list(s.terms), "raw_text", s.average_abstract_length)
     out = selection.non_empty(out, "raw_text")
-    return out.select(X.base_id(F.col("file_name")).alias("paper_id"), X.joined_et_al(X.sentences(X.body(F.col("raw_text")))).alias("sentences"))
+    split = s.split_sentences or X.sentences
+    return T.once(out.select(X.base_id(F.col("file_name")).alias("paper_id"), X.joined_et_al(split(X.body(F.col("raw_text")))).alias("sentences")))
 
 
 def normalised(texts: DataFrame, expand: bool = True) -> DataFrame:
     """Line breaks mended, citations removed, abbreviations expanded."""
     mended = F.transform("sentences", lambda s: X.strip_citations(X.mend_line_breaks(s)))
-    return texts.select("paper_id", (abbreviations.expanded(mended) if expand else mended).alias("sentences"))
+    texts = T.once(texts.select("paper_id", mended.alias("sentences")))
+    return texts.select("paper_id", (abbreviations.expanded(F.col("sentences")) if expand else F.col("sentences")).alias("sentences"))
 
 
-def removal_words(triples: DataFrame, books: DataFrame, counts: DataFrame, files: DataFrame, n_books: int, n_papers: int, s: Filtering, entropy: DataFrame | None = None) -> DataFrame:
+def removal_words(triples: DataFrame, books: DataFrame, counts: DataFrame, files: DataFrame, n_books: int | Column, n_papers: int | Column, s: Filtering, entropy: DataFrame | None = None) -> DataFrame:
     """Words to remove: rare ones, those of lowest score against the books, and those of high entropy."""
     words = vocabulary.vocabulary(triples)
     in_books = vocabulary.document_frequency(books, s.min_num_counts_term_in_single_book, max_length=s.max_length_book)
@@ -54,6 +57,21 @@ def papers_to_triples(papers: DataFrame, settings: Settings | None = None, model
     return T.cleaned(T.parsed(answers), s.cleaning, lemmatise)
 
 
+def filtered(triples: DataFrame, books: DataFrame, papers: DataFrame, settings: Filtering | None = None, entropy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Kept and removed triples by the words that are rare, close to the books or of high entropy over categories.
+
+    triples: staged or stored, for they are read four times. books: book_id, text; settings choose the share of them that
+    is used. papers: category, text, which scores and entropies are counted over.
+    """
+    s = settings or Filtering()
+    chosen = selection.sample(books, s.subset_book_corpus, "book_id", s.seed)
+    counts = vocabulary.category_counts(papers, s.min_num_counts_term_in_single_paper)
+    files = papers.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"))
+    sizes = [d.agg(F.count(F.lit(1))).scalar() for d in (chosen, papers)]
+    words = stage(removal_words(triples, chosen, counts, files, *sizes, s, entropy), "removal")
+    return vocabulary.kept_triples(triples, words), vocabulary.removed_triples(triples, words)
+
+
 def patents_to_texts(documents: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:
     """Texts and attributes of patents with a keyword."""
     records = patents.with_keywords(patents.parsed(documents).filter("error IS NULL AND NOT skipped"), keywords)

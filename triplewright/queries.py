@@ -14,6 +14,7 @@ from .functions import text as X
 from .operators import inference, keyterms, memory, patents, selection, vocabulary
 from .operators import triples as T
 from .plans import pipelines, views
+from .staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,8 +45,8 @@ def _tokens(c: str) -> str:
 
 
 PARSED = f"""{views.ANSWERS_SQL},
-found AS (SELECT paper_id, unnest(m) AS m, generate_subscripts(m, 1) - 1 AS pos FROM (SELECT paper_id, regexp_extract_all(triplets, '\\(.+?;.+?;.+?\\)') AS m FROM answers) WHERE len(m) > 0),
-parsed AS (SELECT paper_id, pos::INTEGER AS pos, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 1) AS subject, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 2) AS predicate, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 3) AS object FROM found)"""
+found AS (SELECT paper_id, chunk_no, unnest(m) AS m, generate_subscripts(m, 1) AS k FROM (SELECT paper_id, chunk_no, regexp_extract_all(triplets, '\\(.+?;.+?;.+?\\)') AS m FROM answers) WHERE len(m) > 0),
+parsed AS (SELECT paper_id, (row_number() OVER (PARTITION BY paper_id ORDER BY chunk_no, k) - 1)::INTEGER AS pos, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 1) AS subject, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 2) AS predicate, regexp_extract(m, '\\((.+);(.+);(.+)\\)', 3) AS object FROM found)"""
 _plain = "regexp_replace(lower({0}), '[^a-zA-Z0-9 -]', '', 'g')"
 _long = "array_to_string(list_filter({0}, lambda w: length(w) > 3), ' ')"
 _once = "array_to_string(list_filter({0}, lambda w, i: i = 1 OR w <> ({0})[i - 1]), ' ')"
@@ -56,7 +57,8 @@ c2 AS (SELECT paper_id, pos, array_to_string(list_filter({_tokens('s')}, lambda
     array_to_string(list_filter({_tokens('o')}, lambda w: NOT list_contains({_list(STOPWORDS)}, w)), ' ') AS o FROM c1),
 c3 AS (SELECT paper_id, pos, {_long.format(_tokens('s'))} AS s, p, {_long.format(_tokens('o'))} AS o FROM c2 WHERE s <> '' AND o <> ''),
 c4 AS (SELECT paper_id, pos, {_once.format(_tokens('s'))} AS subject, p AS predicate, {_once.format(_tokens('o'))} AS object FROM c3 WHERE s <> '' AND o <> ''),
-cleaned AS (SELECT * FROM c4 WHERE len({_tokens('subject')}) <= 6 AND len({_tokens('predicate')}) <= 6 AND len({_tokens('object')}) <= 6)"""
+judged AS (SELECT *, len({_tokens('subject')}) <= 6 AND len({_tokens('predicate')}) <= 6 AND len({_tokens('object')}) <= 6 AS kept FROM c4),
+cleaned AS (SELECT * EXCLUDE (kept) FROM judged WHERE kept)"""
 WORDS = f"""{CLEANED},
 occurrences AS (SELECT unnest(list_concat({_tokens('subject')}, {_tokens('object')})) AS word FROM cleaned),
 frequency AS (SELECT word, count(*) AS n FROM occurrences GROUP BY word)"""
@@ -80,16 +82,20 @@ REMOVAL = f"""{WORDS}, {SCORES}, {ENTROPY},
 low AS (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY coalesce(round(score, 9), 'infinity'::DOUBLE), word) AS r, count(*) OVER () AS n FROM frequency LEFT JOIN scores ON word = term) WHERE r <= floor({CUTOFF} * n)),
 high AS (SELECT word FROM frequency JOIN entropy ON word = term WHERE round(entropy, 9) > (SELECT quantile_cont(round(entropy, 9), {PERCENTILE}) FROM entropy)),
 removal AS (SELECT word FROM frequency WHERE n < {LEAST_FREQUENCY} UNION SELECT word FROM low UNION SELECT word FROM high)"""
-_all_listed = "len(list_filter({0}, lambda w: NOT list_contains(l, w))) = 0"
 SPLIT = f"""{REMOVAL},
-judged AS (SELECT c.*, NOT ({_all_listed.format(_tokens('subject'))} OR {_all_listed.format(_tokens('object'))}) AS kept
-  FROM cleaned c, (SELECT list(word) AS l FROM removal))"""
+parts AS (SELECT paper_id, pos, 1 AS part, unnest({_tokens('subject')}) AS word FROM cleaned UNION ALL SELECT paper_id, pos, 2, unnest({_tokens('object')}) FROM cleaned),
+spared AS (SELECT paper_id, pos FROM parts ANTI JOIN removal USING (word) GROUP BY paper_id, pos HAVING count(DISTINCT part) = 2),
+split AS (SELECT c.*, s.pos IS NOT NULL AS kept FROM cleaned c LEFT JOIN spared s USING (paper_id, pos))"""
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.parsed(views.answers(spark, sf_dir))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.judged(_parsed(spark, sf_dir), Cleaning(stopwords=tuple(STOPWORDS)))
+
+
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cleaned(_parsed(spark, sf_dir), Cleaning(stopwords=tuple(STOPWORDS)))
 
@@ -107,7 +113,7 @@ def _in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n_books, n_papers = views.books(spark, sf_dir).count(), views.read(spark, sf_dir, "documents").count()
+    n_books, n_papers = (d.agg(F.count(F.lit(1))).scalar() for d in (views.books(spark, sf_dir), views.read(spark, sf_dir, "documents")))
     return vocabulary.term_scores(_in_books(spark, sf_dir), vocabulary.pooled(_counts(spark, sf_dir)), n_books, n_papers, LEAST_PAPERS).withColumn("score", F.round("score", 9))
 
 
@@ -115,17 +121,18 @@ def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.entropies(_counts(spark, sf_dir), _files(spark, sf_dir), LEAST_PAPERS).withColumn("entropy", F.round("entropy", 9))
 
 
-def _low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.lowest_words(vocabulary.vocabulary(_cleaned(spark, sf_dir)), _scores(spark, sf_dir), CUTOFF)
+def _low(spark: SparkSession, sf_dir: str, cleaned: DataFrame) -> DataFrame:
+    return vocabulary.lowest_words(vocabulary.vocabulary(cleaned), _scores(spark, sf_dir), CUTOFF)
 
 
-def _high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.high_entropy_words(vocabulary.vocabulary(_cleaned(spark, sf_dir)), _entropy(spark, sf_dir), PERCENTILE)
+def _high(spark: SparkSession, sf_dir: str, cleaned: DataFrame) -> DataFrame:
+    return vocabulary.high_entropy_words(vocabulary.vocabulary(cleaned), _entropy(spark, sf_dir), PERCENTILE)
 
 
-def _removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _cleaned(spark, sf_dir).persist()  # equal plans below read what is kept
-    return vocabulary.union(vocabulary.rare_words(_cleaned(spark, sf_dir), LEAST_FREQUENCY), _low(spark, sf_dir), _high(spark, sf_dir))
+def _removal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cleaned triples, made once, and the words to remove."""
+    cleaned = stage(_cleaned(spark, sf_dir), "cleaned")
+    return cleaned, vocabulary.union(vocabulary.rare_words(cleaned, LEAST_FREQUENCY), _low(spark, sf_dir, cleaned), _high(spark, sf_dir, cleaned))
 
 
 @query(f"WITH {PARSED} SELECT * FROM parsed")
@@ -143,15 +150,15 @@ def triple_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.frequency(_cleaned(spark, sf_dir))
 
 
-@query(f"WITH {CLEANED} SELECT paper_id, count(*) AS n, string_agg(subject || '|' || predicate || '|' || object, '/' ORDER BY pos) AS listed FROM cleaned GROUP BY paper_id")
+@query(f"WITH {CLEANED} SELECT paper_id, count_if(kept)::BIGINT AS n, coalesce(string_agg(subject || '|' || predicate || '|' || object, '/' ORDER BY pos) FILTER (kept), '') AS listed FROM judged GROUP BY paper_id")
 def triple_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda t: F.concat_ws("|", t["subject"], t["predicate"], t["object"])
-    return T.nested(_cleaned(spark, sf_dir)).select("paper_id", F.size("triplets").cast("bigint").alias("n"), F.array_join(F.transform("triplets", one), "/").alias("listed"))
+    return T.nested(_judged(spark, sf_dir)).select("paper_id", F.size("triplets").cast("bigint").alias("n"), F.array_join(F.transform("triplets", one), "/").alias("listed"))
 
 
-@query(f"WITH {CLEANED} SELECT count(DISTINCT paper_id) AS n_papers, count(*) AS n_triples, count(*)::DOUBLE / count(DISTINCT paper_id) AS triples_a_paper FROM cleaned")
+@query(f"WITH {CLEANED} SELECT count(DISTINCT paper_id) AS n_papers, count_if(kept)::BIGINT AS n_triples, count_if(kept)::DOUBLE / count(DISTINCT paper_id) AS triples_a_paper FROM judged")
 def triple_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.summary(_cleaned(spark, sf_dir))
+    return T.summary(_judged(spark, sf_dir))
 
 
 @query(f"WITH {CLEANED} SELECT subject AS source, predicate, object AS target, count(*) AS n FROM cleaned GROUP BY ALL")
@@ -206,7 +213,7 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REMOVAL} SELECT word FROM low")
 def bookcorpus_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _low(spark, sf_dir)
+    return _low(spark, sf_dir, _cleaned(spark, sf_dir))
 
 
 @query(f"WITH {COUNTS}, {ENTROPY} SELECT term, abs(round(entropy, 6)) AS entropy FROM entropy")
@@ -216,7 +223,7 @@ def entropy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REMOVAL} SELECT word FROM high")
 def entropy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _high(spark, sf_dir)
+    return _high(spark, sf_dir, _cleaned(spark, sf_dir))
 
 
 @query(f"WITH {WORDS}, {COUNTS}, {ENTROPY} SELECT count_if(term IS NULL)::BIGINT AS n_missing, count_if(term IS NULL)::DOUBLE / count(*) AS share FROM frequency LEFT JOIN entropy ON word = term")
@@ -226,17 +233,17 @@ def entropy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REMOVAL} SELECT word FROM removal")
 def vocab_removed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _removal(spark, sf_dir)
+    return _removal(spark, sf_dir)[1]
 
 
-@query(f"WITH {SPLIT} SELECT paper_id, pos, subject, predicate, object FROM judged WHERE kept")
+@query(f"WITH {SPLIT} SELECT paper_id, pos, subject, predicate, object FROM split WHERE kept")
 def triples_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.kept_triples(_cleaned(spark, sf_dir), _removal(spark, sf_dir))
+    return vocabulary.kept_triples(*_removal(spark, sf_dir))
 
 
-@query(f"WITH {SPLIT} SELECT paper_id, pos, subject, predicate, object FROM judged WHERE NOT kept")
+@query(f"WITH {SPLIT} SELECT paper_id, pos, subject, predicate, object FROM split WHERE NOT kept")
 def triples_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.removed_triples(_cleaned(spark, sf_dir), _removal(spark, sf_dir))
+    return vocabulary.removed_triples(*_removal(spark, sf_dir))
 
 
 _base = "regexp_replace(regexp_replace(file_name, '\\.[A-Za-z]+$', ''), 'v\\d+$', '')"
@@ -451,9 +458,9 @@ def party_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "customer").select("c_custkey", X.name_of(F.col("c_name"), F.col("c_mktsegment")).alias("name"))
 
 
-@query("SELECT doc_id, repeat('-', least(3, length(t))) || repeat('*', greatest(least(7, length(t)) - 3, 0)) || repeat('-', greatest(length(t) - 7, 0)) AS mask FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents)")
+@query("SELECT doc_id, repeat('-', least(3, length(t))) || repeat('*', greatest(least(7, length(t)) - 3, 0)) || repeat('-', greatest(length(t) - 7, 0)) AS mask FROM (SELECT doc_id, text AS t FROM documents)")
 def change_log_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.read(spark, sf_dir, "documents").select("doc_id", X.change_mask(F.substring("text", 1, 40), F.array(F.lit(3)), F.array(F.lit(7))).alias("mask"))
+    return views.read(spark, sf_dir, "documents").select("doc_id", X.change_mask(F.col("text"), F.array(F.lit(3)), F.array(F.lit(7))).alias("mask"))
 
 
 @query()
@@ -464,7 +471,7 @@ def abbrev_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lemma_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.lemmatised(T.parsed(views.answers(spark, sf_dir, whole=True)), lambda x: " ".join(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in x.split()))
+    return T.lemmatised(T.parsed(views.answers(spark, sf_dir)), lambda x: " ".join(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in x.split()))
 
 
 @query()
@@ -480,7 +487,7 @@ def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def patent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.patent_rows(spark, sf_dir, whole=True)
+    p = views.patent_rows(spark, sf_dir)
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     xml = F.concat(
         F.lit('<us-patent-grant file="'), F.col("publication_number"), F.lit('-1.XML" date-produced="20200101"><us-bibliographic-data-grant><publication-reference><document-id><date>20200107</date></document-id></publication-reference><application-reference appl-type="utility"><document-id><doc-number>1</doc-number><date>20190101</date></document-id></application-reference><classifications-cpc><classification-cpc-text>'),

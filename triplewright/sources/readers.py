@@ -48,10 +48,11 @@ def metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(schema.METADATA).json(path)
 
 
-def answers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of answer CSV files, without those that have no triples."""
+def answers(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
+    """Rows of answer CSV files, without those that have no triples; if numbered with chunk_no, their order within each file."""
     found = spark.read.schema(schema.RAW_OUTPUT).csv(path, header=True, multiLine=True, escape='"')
-    return found.filter(F.col("triplets").isNotNull())
+    rows = found.withColumn("chunk_no", F.monotonically_increasing_id()) if numbered else found
+    return rows.filter(F.col("triplets").isNotNull())
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
