@@ -52,6 +52,7 @@ class Extraction:
     use_sampling: bool = False
     temperature: float = 1.0
     top_p: float = 1.0
+    repetition_penalty: float = 1.0
     seed: int = 42
 
 
@@ -72,7 +73,7 @@ class Filtering:
     max_length_book: int = 30000
     min_num_counts_term_in_single_book: int = 5
     min_num_paper_appearances_term_bookcorpus_scores: int = 5
-    subset_book_corpus: float = 0.3
+    subset_book_corpus: float | None = 0.3
     use_entropy: bool = True
     entropy_percentile_threshold: float = 0.85
     min_num_counts_term_in_single_paper: int = 5

@@ -28,3 +28,14 @@ def needed(points: DataFrame, input_size: int, new_tokens: int, gate: float = 0.
             r2, value[curve] = 1 - rest / (s.v * s.x0), float(c @ [1, at, at * at])
         good &= r2 >= gate
     return max(value["without cache"], value["cache size"] + value["with cache"]), bool(good)
+
+
+def usable(devices: DataFrame, total: str = "total_gb", allocated: str = "allocated_gb", share: float = 0.9) -> DataFrame:
+    """usable_gb of a group of equal devices: a share of the first one's memory without what the fullest one holds."""
+    return devices.agg((share * F.min_by(total, "device") - F.max(allocated)).alias("usable_gb"))
+
+
+def parameter_count(tensors: DataFrame, shape: str = "shape") -> DataFrame:
+    """billions: parameters of a model in 10^9, from the shapes of its tensors."""
+    size = F.aggregate(shape, F.lit(1).cast("bigint"), lambda n, x: n * x)
+    return tensors.agg((F.sum(size) / F.lit(1e9)).alias("billions"))

@@ -17,6 +17,18 @@ from ..functions import patents as P
 
 # Document types of related documents by tag.
 RELATED = {t: t for t in ("continuation", "division", "continuation-in-part", "reissue", "substitution")} | {"us-reexamination-reissue-merger": "reissue", "continuing-reissue": "reissue"}
+# What a document id holds about a relative, by the tag around it: name in the record, tag, whether it must be there.
+RELATIVES = {
+    "parent-grant-document": [("reference", "doc-number", True)],
+    "parent-pct-document": [("metadata.parent_pct_number", "doc-number", True), ("metadata.parent_pct_country", "country", True), ("metadata.parent_pct_date", "date", False)],
+    "parent-doc": [("metadata.application_number", "doc-number", True), ("country", "country", True), ("metadata.application_date", "date", False)],
+    "child-doc": [("metadata.child_application_number", "doc-number", True), ("metadata.parent_country", "country", True)],
+}
+# Related documents without relatives: their type, and what they hold.
+SINGLE = {
+    "us-provisional-application": ("provisional", [("country", "country", True), ("reference", "doc-number", True), ("metadata.application_date", "date", True)]),
+    "related-publication": ("prior", [("reference", "doc-number", True), ("country", "country", True), ("kind", "kind", True), ("metadata.date", "date", True)]),
+}
 CODE = re.compile(P.CODE)
 
 
@@ -51,32 +63,20 @@ def _distinct(values: list[str]) -> list[str]:
 
 
 def _related(doc: _Node, blank: dict) -> dict:
+    """Record of a related document, as RELATIVES and SINGLE say."""
     tag, out = doc.element.tag, dict(blank, cited_by_examiner=False, metadata={})
-    meta = out["metadata"]
-    if tag in RELATED:
+    if tag in SINGLE:
+        out["document_type"], fields = SINGLE[tag]
+        sources = [(doc, fields)]
+    elif tag in RELATED:
         out["document_type"] = RELATED[tag]
-        for parent in doc.all(r"parent-grant-document|parent-pct-document|parent-doc|child-doc"):
-            for e in parent.element:
-                if e.tag != "document-id":
-                    continue
-                ident, number, kind = _Node(e), _Node(e).value("doc-number", True), parent.element.tag
-                if kind == "parent-grant-document":
-                    out["reference"] = number
-                elif kind == "parent-pct-document":
-                    meta |= {"parent_pct_number": number, "parent_pct_country": ident.value("country", True), "parent_pct_date": ident.value("date")}
-                elif kind == "parent-doc":
-                    out["country"] = ident.value("country", True)
-                    meta |= {"application_number": number, "application_date": ident.value("date")}
-                else:
-                    meta |= {"child_application_number": number, "parent_country": ident.value("country", True)}
-    elif tag == "us-provisional-application":
-        out |= {"document_type": "provisional", "country": doc.value("country", True), "reference": doc.value("doc-number", True)}
-        meta["application_date"] = doc.value("date", True)
-    elif tag == "related-publication":
-        out |= {"document_type": "prior", "reference": doc.value("doc-number", True), "country": doc.value("country", True), "kind": doc.value("kind", True)}
-        meta["date"] = doc.value("date", True)
+        sources = [(_Node(e), fields) for around, fields in RELATIVES.items() for relative in doc.all(around) for e in relative.element.findall("document-id")]
     else:
         raise KeyError(f"related document {tag} is not known")
+    for node, fields in sources:
+        for name, part, needed in fields:
+            where = out["metadata"] if name.startswith("metadata.") else out
+            where[name.removeprefix("metadata.")] = node.value(part, needed)
     return out
 
 

@@ -87,26 +87,28 @@ def in_language(df: DataFrame, languages: list[str], detect: Callable[[str], str
 
 
 def sample(df: DataFrame, size: float | None, key: str, seed: int = 42) -> DataFrame:
-    """A fixed share (size < 1, rounded down) or number of rows in the order of a seeded hash; None keeps all.
+    """A fixed share (size < 1, rounded down) or number of rows in the order of md5(key:seed); None keeps all.
 
-    Rows are counted by the hash's first 16 bits; only those of the last bucket that is needed are sorted.
+    Rows are counted by the first four digits of the hash; only those of the last bucket that is needed are sorted.
     """
     if size is None:
         return df
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    d = df.withColumns({"__hash": h, "__bucket": F.shiftrightunsigned(h, 48)})
-    counts = sorted((r[0], r[1]) for r in d.groupBy("__bucket").count().collect())  # 65,536 at most
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    d = df.withColumn("__hash", h)
+    bucket = F.substring("__hash", 1, 4)
+    counts = sorted((r[0] or "", r[1]) for r in d.groupBy(bucket.alias("b")).count().collect())  # 65,536 and null at most
     total = sum(n for _, n in counts)
     left = int(size * total) if size < 1 else int(size)
     if left >= total:
         return df
-    last = 0
+    last = ""
     for last, n in counts:  # noqa: B007
         if n > left:
             break
         left -= n
-    edge = d.filter(F.col("__bucket") == last).orderBy("__hash", key).limit(left)
-    return d.filter(F.col("__bucket") < last).unionByName(edge).drop("__hash", "__bucket")
+    place = F.coalesce(bucket, F.lit(""))
+    edge = d.filter(place == last).orderBy("__hash", key).limit(left)
+    return d.filter(place < last).unionByName(edge).drop("__hash")
 
 
 def first_of_each_period(df: DataFrame, n: int | None, period: str = "period", order: str = "path") -> DataFrame:

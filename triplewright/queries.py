@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import FILLER_VERBS, Cleaning
+from .config import FILLER_VERBS, Cleaning, Filtering
 from .functions import abbreviations, batching
 from .functions import patents as PF
 from .functions import text as X
@@ -444,10 +444,16 @@ def over_length_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "conversations").agg(batching.over_length(F.col("text"), 200).alias("n_over"))
 
 
-@query("SELECT least(100, count(*))::BIGINT AS n FROM documents")
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100")
 def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampling operator: its rows follow a hash that SQL lacks, its size is exact."""
-    return selection.sample(views.read(spark, sf_dir, "documents"), 100, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """A sampling operator: its size is what it is asked for."""
+    return selection.sample(views.read(spark, sf_dir, "documents"), 100, "doc_id").select("doc_id")
+
+
+@query("SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY md5(item_id || ':7'), item_id) AS r, count(*) OVER () AS n FROM benchmark) WHERE r <= floor(0.3 * n)")
+def book_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: a share of the books."""
+    return selection.sample(views.read(spark, sf_dir, "benchmark"), 0.3, "item_id", seed=7).select("item_id")
 
 
 _name = lambda a, b, sep: f"trim(concat_ws('{sep}', nullif(nullif({a}, 'unknown'), ''), nullif(nullif({b}, 'unknown'), '')))"
@@ -486,17 +492,15 @@ def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def patent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.patent_rows(spark, sf_dir)
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    xml = F.concat(
-        F.lit('<us-patent-grant file="'), F.col("publication_number"), F.lit('-1.XML" date-produced="20200101"><us-bibliographic-data-grant><publication-reference><document-id><date>20200107</date></document-id></publication-reference><application-reference appl-type="utility"><document-id><doc-number>1</doc-number><date>20190101</date></document-id></application-reference><classifications-cpc><classification-cpc-text>'),
-        F.col("code"), F.lit("</classification-cpc-text></classifications-cpc><invention-title>"), esc(F.col("publication_title")), F.lit("</invention-title></us-bibliographic-data-grant><abstract><p>"),
-        esc(F.array_join("abstract", " ")), F.lit("</p></abstract><description>"), esc(F.array_join("descriptions", "\n")), F.lit("</description><claims><claim>"), esc(F.array_join("claims", " ")), F.lit("</claim></claims></us-patent-grant>"),
-    )
-    return patents.parsed(p.select(xml.alias("xml")))
+def papers_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.papers_to_triples(views.papers(spark, sf_dir))
 
 
 @query()
-def papers_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.papers_to_triples(views.papers(spark, sf_dir))
+def papers_to_final_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = stage(pipelines.papers_to_triples(views.papers(spark, sf_dir)), "cleaned")
+    settings = Filtering(min_num_appearances_for_frequency=LEAST_FREQUENCY, min_num_counts_term_in_single_book=IN_BOOK, min_num_counts_term_in_single_paper=IN_PAPER, subset_book_corpus=None)
+    return pipelines.filtered(cleaned, views.books(spark, sf_dir), views.labelled_papers(spark, sf_dir), settings)[0]
+
+
+from . import queries_io  # noqa: E402, F401

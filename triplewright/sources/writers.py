@@ -16,10 +16,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def triple_dump(triples: DataFrame) -> DataFrame:
-    """paper_id and text of a readable dump: the id, each triple before ---, and a rule."""
+    """paper_id and text of a readable dump: the id, a line of the triples, each before ---, and a rule."""
     one = F.concat(F.lit("("), F.concat_ws(", ", *(F.concat(F.lit("'"), F.col(c), F.lit("'")) for c in ("subject", "predicate", "object"))), F.lit(")---"))
     listed = triples.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("line")))).alias("l"))
-    return listed.select("paper_id", F.concat(F.col("paper_id"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n" + "-" * 60)).alias("text"))
+    return listed.select("paper_id", F.concat(F.col("paper_id"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("\n" + "-" * 60)).alias("text"))
 
 
 def words(df: DataFrame, path: str) -> None:
