@@ -106,9 +106,10 @@ def period(path: Column) -> Column:
 
 def change_mask(old: Column, starts: Column, ends: Column) -> Column:
     """A marker line for a change log: * where a range of the old line was changed, - elsewhere."""
-    at = lambda i: F.exists(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: (i >= z["a"]) & (i < z["b"]))
-    marks = F.transform(F.sequence(F.lit(0), F.length(old) - 1), lambda i: F.when(at(i), F.lit("*")).otherwise(F.lit("-")))
-    return F.when(F.length(old) == 0, F.lit("")).otherwise(F.array_join(marks, ""))
+    size = F.length(old)
+    stars = lambda z: F.greatest(F.least(z["b"], size) - z["a"], F.lit(0))
+    marked = lambda line, z: F.when(stars(z) > 0, F.overlay(line, F.repeat(F.lit("*"), stars(z)), z["a"] + 1)).otherwise(line)
+    return F.aggregate(F.arrays_zip(starts.alias("a"), ends.alias("b")), F.repeat(F.lit("-"), size), marked)
 
 
 def change_log(old: Column, new: Column, line: Column, starts: Column, ends: Column, kind: str) -> Column:

@@ -69,11 +69,21 @@ def generate(prompted: DataFrame, model: Callable[..., list[str]] = stand_in, ba
     """
     ask = partial(model, options=told) if told else model
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(asked: pd.Series) -> pd.Series:
+        return pd.Series(with_back_off(ask, asked.fillna("").tolist(), batch), index=asked.index, dtype=object)
+
+    if profile is None:  # only the prompts leave the JVM
+
+        def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from map(answers, it)
+
+        return prompted.withColumn("output", F.pandas_udf(run, "string")(F.col(column)))
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
-            yield part.assign(output=pd.Series(with_back_off(ask, part[column].fillna("").tolist(), batch), index=part.index, dtype=object))
+            yield part.assign(output=answers(part[column]))
 
-    return prompted.mapInPandas(run, StructType([*prompted.schema.fields, StructField("output", StringType())]), profile=profile)
+    return prompted.mapInPandas(rows, StructType([*prompted.schema.fields, StructField("output", StringType())]), profile=profile)
 
 
 def extract(texts: DataFrame, settings: Extraction | None = None, model: Callable[..., list[str]] = stand_in, examples: list[dict[str, str]] | None = None, batch: int = 16, profile=None) -> DataFrame:

@@ -28,7 +28,9 @@ def loaded(papers: DataFrame, s: Loading | None = None, done: DataFrame | None =
         out = selection.with_terms(out, list(s.terms), "raw_text", s.average_abstract_length)
     out = selection.non_empty(out, "raw_text")
     split = s.split_sentences or X.sentences
-    return T.once(out.select(X.base_id(F.col("file_name")).alias("paper_id"), X.joined_et_al(split(X.body(F.col("raw_text")))).alias("sentences")))
+    bodies = T.once(out.select(X.base_id(F.col("file_name")).alias("paper_id"), X.body(F.col("raw_text")).alias("body")))
+    parted = T.once(bodies.select("paper_id", split(F.col("body")).alias("sentences")))
+    return T.once(parted.select("paper_id", X.joined_et_al(F.col("sentences")).alias("sentences")))
 
 
 def normalised(texts: DataFrame, expand: bool = True) -> DataFrame:

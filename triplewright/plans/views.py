@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -20,15 +22,12 @@ PER_ANSWER = 15
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, chunk_no and triplets: triples of six words of each whole document, PER_ANSWER of them an answer row."""
-    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    d = read(spark, sf_dir, "documents").select("doc_id", _file_name("txt").alias("paper_id"), w.alias("w"))
-    d = d.withColumn("n", F.floor(F.size("w") / 6).cast("int"))
-    rows = d.select("paper_id", "w", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / PER_ANSWER).cast("int"), F.lit(0)))).alias("chunk_no"))
-    six = lambda i: [F.element_at("w", 6 * i + k) for k in range(1, 7)]
-    one = lambda i: F.format_string("(%s %s; %s %s; %s %s)", *six(i))
-    first = F.col("chunk_no") * PER_ANSWER
-    listed = F.when(F.col("n") > 0, F.transform(F.sequence(first, F.least(first + PER_ANSWER, F.col("n")) - 1), one)).otherwise(F.array().cast("array<string>"))
-    return rows.select("paper_id", "chunk_no", F.array_join(listed, ", ").alias("triplets"))
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    six = lambda w, i: [F.element_at(w, 6 * i + k) for k in range(1, 7)]
+    every = lambda w: F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 6).cast("int") - 1), lambda i: F.format_string("(%s %s; %s %s; %s %s)", *six(w, i)))).otherwise(none)
+    rows = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(t) / PER_ANSWER).cast("int") - 1, F.lit(0))), lambda c: F.array_join(F.slice(t, c * PER_ANSWER + 1, PER_ANSWER), ", "))
+    return read(spark, sf_dir, "documents").select(_file_name("txt").alias("paper_id"), F.posexplode(let(let(words, every), rows)).alias("chunk_no", "triplets"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
