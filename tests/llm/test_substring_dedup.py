@@ -80,3 +80,28 @@ def test_blocks_change_nothing(monkeypatch):
     whole = S.runs(line, at, 13)
     monkeypatch.setattr(S, "BLOCK_BYTES", 100)
     assert all((a == b).all() for a, b in zip(whole, S.runs(line, at, 13), strict=True))
+
+
+def test_frequent_minimisers_split_and_change_nothing(spark, sf, monkeypatch):
+    import numpy as np
+
+    d = table(spark, sf)
+    rows = [(r.doc_id, r.text) for r in d.collect()] + [(5000 + k, " ".join(f"a{k} b{k + j} in the of it c{k * j % 7}" for j in range(40))) for k in range(50)]
+    plain = sorted(map(tuple, S.removal_digest(docs(spark, rows)).collect()))
+    found = S.frequent_minimisers(docs(spark, rows), "text", 13, 0, one_in=1)
+    assert not len(found)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(S, "ONE_IN", 1)
+    found = S.frequent_minimisers(docs(spark, rows), "text", 13, 0, one_in=1)
+    assert len(found) > 3 and (np.diff(found.astype(float)) > 0).all()
+    assert sorted(map(tuple, S.removal_digest(docs(spark, rows)).collect())) == plain
+    line = rows[-1][1].encode()
+    at = S.word_starts(np.frombuffer(line, np.uint8))
+    assert len(S.runs(line, at, 13, found)[0]) >= len(S.runs(line, at, 13)[0])
+
+
+def test_clashing_columns_pass_through(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    d = docs(spark, [(1, text), (2, text + " end")]).selectExpr("*", "7 AS __part", "8 AS part", "9 AS _PART", "10 AS bucket")
+    out = sorted(tuple(r) for r in S.remove_repeats(d).select("doc_id", "text", "__part", "part", "_PART", "bucket").collect())
+    assert out == [(1, text, 7, 8, 9, 10), (2, "end", 7, 8, 9, 10)]

@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, release, shared_dir, stage  # noqa: F401
+
 # ASCII white space of the word definition [^\x20\x09-\x0D]+, as a regex class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 HOT_KEYS = 1000
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one under the warehouse where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _staged:
-        atexit.register(drop_staged)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged() -> None:
-    """Remove the staged tables that this process wrote, as far as their sessions still run."""
-    while _staged:
-        spark, path = _staged.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def lookup(left: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join left to table on key where a few keys may hold most of left's rows.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, row_key, stage
+from .common import lookup, release, row_key, stage
 from .components import components
 from .simhash_dedup import bits_of, forest
 from .tokenizer_units import segments
@@ -198,7 +198,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, width: int, per
         slots[word] = bits
     sets = plain.select("key", "text").mapInArrow(partial(_sets, width, slots.view(np.uint8)), "key bigint, hashes binary")
     met = sets.join(places.hint("merge"), "key").select("u", "slice", "node", "hub", "hashes")
-    return stage(met.groupBy("u", "slice").applyInArrow(lambda t: _verify(percent, t), "u bigint, v bigint").distinct(), name)
+    links = stage(met.groupBy("u", "slice").applyInArrow(lambda t: _verify(percent, t), "u bigint, v bigint").distinct(), name)
+    release(pairs, places)
+    return links
 
 
 def _held(shared: DataFrame, named: DataFrame, total: int) -> DataFrame:
@@ -215,7 +217,9 @@ def _held(shared: DataFrame, named: DataFrame, total: int) -> DataFrame:
     everywhere = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), place)
     visits = F.when(F.col("root") == F.col("main"), F.array(place(F.col("own")))).otherwise(everywhere)
     rows = apart.select("token", "node", F.explode(visits).alias("p")).select("token", "node", "p.*")
-    return stage(rows.join(named.select("node", "size", "bits", "root").hint("merge"), "node"), "held")
+    held = stage(rows.join(named.select("node", "size", "bits", "root").hint("merge"), "node"), "held")
+    release(split)
+    return held
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +258,9 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     stars = stage(stars, "stars")
     spokes = stars.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     judged = lookup(stars.join(ends[1], "v"), ends[0].join(spokes, "u"), "u", "n", stars.count()).mapInArrow(partial(_may, percent), "u bigint, v bigint")
-    links = _links(stage(judged, "pairs"), nodes, plain, width, percent, "links")
+    judged = stage(judged, "pairs")
+    release(stars, fps)
+    links = _links(judged, nodes, plain, width, percent, "links")
     roots = components(links)
     counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n_shared"))
     named = stage(nodes.join(counts, "node").join(roots, "node", "left").select("node", "size", "bits", "n_shared", F.coalesce("root", "node").alias("root")), "named")
@@ -262,6 +268,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     buckets = max(1, held.count() // BUCKET)
     rest = held.withColumn("bucket", F.pmod(F.xxhash64("token", "slice"), F.lit(buckets)))
     pairs = stage(rest.groupBy("bucket").applyInArrow(lambda t: _apart(percent, t), "u bigint, v bigint").distinct(), "across")
+    release(held, shared, named)
     found = _links(pairs, nodes, plain, width, percent, "links-across")
     roots = components(links.unionByName(found))
     groups = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))

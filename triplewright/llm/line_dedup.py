@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, free, let, lookup, row_key, stage
+from .common import SPACE_CHARS, free, let, lookup, release, row_key, stage
 
 LG_K = 10  # a sketch of up to 2 ** LG_K registers: a standard error of about 3.3 % once it is full
 SIGMAS = 4  # estimates within so many standard errors of the threshold are counted exactly
@@ -42,7 +42,9 @@ def boilerplate(lines: DataFrame, min_sites: int) -> tuple[DataFrame, int]:
     near = spread.filter(F.col("estimate") <= min_sites + margin).select("h", "n")
     counted = lookup(lines.select("h", site.alias("site")), near, "h", "n", total, "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("sites"))
     exact = spread.join(counted, "h", "left").filter(F.coalesce("sites", F.col("estimate")) >= min_sites)
-    return stage(exact.select("h", "n", "first"), "boilerplate"), total
+    table = stage(exact.select("h", "n", "first"), "boilerplate")
+    release(spread)
+    return table, total
 
 
 def _marks(docs: DataFrame, min_sites: int, keep_first: bool, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -55,7 +57,9 @@ def _marks(docs: DataFrame, min_sites: int, keep_first: bool, id_col: str, text_
     hits = lookup(lines.select("key", "doc_id", "pos", "h"), table, "h", "n", total)
     if keep_first:
         hits = hits.filter(~((F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))))
-    return stage(hits.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
+    gone = stage(hits.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
+    release(lines, table)
+    return gone
 
 
 def _without(lines: Column, gone: Column) -> Column:

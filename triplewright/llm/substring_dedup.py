@@ -4,13 +4,16 @@ Consecutive windows of a text that share a minimiser (the least hash among their
 packed string to the bucket of that minimiser, where sorting brings equal windows together. All windows with the same
 words have the same minimiser, so each bucket decides alone. Documents are dealt to parts; a part sends a string that
 many of its documents hold only once, with the least and greatest doc_id, and gets back which of its windows start in
-a document with a smaller doc_id, so neither way carries a row for each occurrence of a common passage.
+a document with a smaller doc_id, so neither way carries a row for each occurrence of a common passage. Minimisers that
+would overfill a bucket are mixed with a second one of longer groups, which spreads their windows over many buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key
+from .common import free, row_key
 
 GROUP = 3  # words of a minimiser
+SECOND = 6  # words of the second minimiser, which splits the buckets of frequent first ones
+ONE_IN = 64  # documents that tell which minimisers are frequent; the result does not depend on them
+LEAST_SHARE = 65_536  # a minimiser is frequent from one in so many bytes of all strings on, or a full bucket's
 LONGEST = 512  # windows of a packed string
 PART_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -55,21 +61,36 @@ def word_starts(line: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(line == 32) + 1, [len(line) + 1]])
 
 
-def runs(line: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First windows, ends and minimisers of the runs of consecutive windows that share a minimiser; at: word_starts()."""
+def minimisers(text: np.ndarray, own: np.ndarray, window: int, group: int) -> np.ndarray:
+    """The least hash among the groups of so many words of each window of a block of text; own: where its words start."""
+    g = mixed(hashes(text, own[: len(own) - group], own[group:] - 1))
+    span, width = 1, window - group + 1
+    while span < width:
+        step = min(span, width - span)
+        g = np.minimum(g[:-step], g[step:])
+        span += step
+    return g
+
+
+def runs(line: bytes, at: np.ndarray, window: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows, ends and keys of the runs of consecutive windows that share a key; at: word_starts().
+
+    A key is a window's minimiser; where that is frequent (ascending), it is mixed with a minimiser of longer groups.
+    Either depends on the window's words only, so equal windows have equal keys.
+    """
     n = len(at) - window
-    group, text = min(GROUP, window), np.frombuffer(line, np.uint8)
+    text = np.frombuffer(line, np.uint8)
     least = np.empty(n, np.uint64)
     begin = 0
     while begin < n:  # blocks of windows, so that a long text needs little memory
         end = min(n, max(begin + 1, int(np.searchsorted(at, at[begin] + BLOCK_BYTES)) - window))
         own = at[begin : end + window] - at[begin]
-        g = mixed(hashes(text[at[begin] : at[end + window - 1] - 1], own[: len(own) - group], own[group:] - 1))
-        span, width = 1, window - group + 1
-        while span < width:
-            step = min(span, width - span)
-            g = np.minimum(g[:-step], g[step:])
-            span += step
+        block = text[at[begin] : at[end + window - 1] - 1]
+        g = minimisers(block, own, window, min(GROUP, window))
+        if frequent is not None and len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
+            if often.any():
+                g[often] = mixed(g[often] ^ (minimisers(block, own, window, min(SECOND, window))[often] * np.uint64(0x9E3779B97F4A7C15)))
         least[begin:end] = g
         begin = end
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
@@ -84,7 +105,7 @@ def runs(line: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 class Part:
     """The packed strings of a part, in an order that only its rows decide."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], window: int, buckets: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], window: int, buckets: int, frequent: np.ndarray):
         strings: list[bytes] = []
         self.found: dict[int, tuple[np.ndarray, slice]] = {}
         docs, least, size = [], [], []
@@ -93,7 +114,7 @@ class Part:
             at = word_starts(np.frombuffer(line, np.uint8))
             if len(at) <= window:
                 continue
-            starts, ends, low = runs(line, at, window)
+            starts, ends, low = runs(line, at, window, frequent)
             self.found[k] = starts, slice(len(strings), len(strings) + len(starts))
             strings += [line[a:b] for a, b in zip(at[starts].tolist(), (at[ends + window - 1] - 1).tolist(), strict=True)]
             docs.append(np.full(len(starts), ids[k]))
@@ -117,10 +138,10 @@ def _texts(table: pa.Table, id_at: int, text_at: int) -> tuple[np.ndarray, list[
     return ids, [t or b"" for t in table.column(text_at).cast(pa.binary()).to_pylist()]
 
 
-def _send(id_at: int, text_at: int, window: int, buckets: int, table: pa.Table) -> pa.Table:
+def _send(id_at: int, text_at: int, window: int, buckets: int, frequent: np.ndarray, table: pa.Table) -> pa.Table:
     import zstandard
 
-    part = Part(*_texts(table, id_at, text_at), window, buckets)
+    part = Part(*_texts(table, id_at, text_at), window, buckets, frequent)
     press = zstandard.ZstdCompressor(level=3).compress
     rows: dict[str, list] = {"bucket": [], "part": [], "strings": [], "sizes": [], "low": [], "high": []}
     number = table.column(table.num_columns - 1)[0].as_py()
@@ -220,7 +241,7 @@ def _decide(window: int, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["runs"], pa.binary())], list(rows))
 
 
-def _cut(id_at: int, text_at: int, window: int, buckets: int, digest: bool, docs: pa.Table, verdicts: pa.Table) -> pa.Table:
+def _cut(id_at: int, text_at: int, window: int, buckets: int, frequent: np.ndarray, digest: bool, docs: pa.Table, verdicts: pa.Table) -> pa.Table:
     import zstandard
 
     pull = zstandard.ZstdDecompressor().decompress
@@ -228,7 +249,7 @@ def _cut(id_at: int, text_at: int, window: int, buckets: int, digest: bool, docs
     n_removed = np.zeros(len(texts), np.int64)
     covers: dict[int, np.ndarray] = {}
     if verdicts.num_rows:
-        part = Part(ids, texts, window, buckets)
+        part = Part(ids, texts, window, buckets, frequent)
         entries = []
         for bucket, packed in zip(verdicts.column("bucket").to_pylist(), verdicts.column("runs").to_pylist(), strict=True):
             found = np.frombuffer(pull(packed), np.int64).reshape(4, -1).copy()
@@ -283,6 +304,30 @@ def _cut(id_at: int, text_at: int, window: int, buckets: int, digest: bool, docs
     return docs.set_column(text_at, docs.schema.field(text_at).name, text).drop_columns([docs.schema.names[-1]])
 
 
+def _weigh(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of packed strings by minimiser; equal strings of a batch count once, as they travel once a part."""
+    for batch in batches:
+        seen: dict[bytes, int] = {}
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            line = b" ".join((text or b"").split())
+            at = word_starts(np.frombuffer(line, np.uint8))
+            if len(at) > window:
+                starts, ends, key = runs(line, at, window)
+                for a, b, k in zip(at[starts].tolist(), (at[ends + window - 1] - 1).tolist(), key.tolist(), strict=True):
+                    seen[line[a:b]] = k
+        keys, where = np.unique(np.fromiter(seen.values(), np.uint64, len(seen)), return_inverse=True)
+        size = np.bincount(where, np.fromiter(map(len, seen), np.int64, len(seen)), len(keys)).astype(np.int64)
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(size)], ["key", "size"])
+
+
+def frequent_minimisers(docs: DataFrame, text_col: str, window: int, size: int, one_in: int = ONE_IN) -> np.ndarray:
+    """Minimisers, ascending, whose strings would overfill a bucket, as one in one_in documents says; LEAST_SHARE bounds their number."""
+    chosen = docs.filter(F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(one_in)) == 0).select(text_col)
+    weights = chosen.mapInArrow(partial(_weigh, window), "key bigint, size bigint").groupBy("key").agg(F.sum("size").alias("size"))
+    most = max(BUCKET_BYTES, 3 * size // LEAST_SHARE) // one_in
+    return np.sort(np.array([r[0] for r in weights.filter(F.col("size") > most).collect()], np.int64).view(np.uint64))
+
+
 def _run(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
@@ -290,11 +335,13 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bool)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(tasks, -(-size // PART_BYTES))
     buckets = max(tasks, -(-3 * size // BUCKET_BYTES))
-    parted = docs.withColumn("__part", F.pmod(row_key(id_col, text_col), F.lit(parts)).cast("int"))
-    sent = parted.groupBy("__part").applyInArrow(lambda t: _send(id_at, text_at, window, buckets, t), "bucket int, part int, strings binary, sizes binary, low binary, high binary")
+    frequent = frequent_minimisers(docs, text_col, window, size)
+    part = free(docs, "part")
+    parted = docs.withColumn(part, F.pmod(row_key(id_col, text_col), F.lit(parts)).cast("int"))
+    sent = parted.groupBy(part).applyInArrow(lambda t: _send(id_at, text_at, window, buckets, frequent, t), "bucket int, part int, strings binary, sizes binary, low binary, high binary")
     verdicts = sent.groupBy("bucket").applyInArrow(lambda t: _decide(window, t), "part int, bucket int, runs binary")
     schema = T.StructType.fromDDL(f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string") if digest else docs.schema
-    return parted.groupBy("__part").cogroup(verdicts.groupBy("part")).applyInArrow(lambda d, v: _cut(id_at, text_at, window, buckets, digest, d, v), schema)
+    return parted.groupBy(part).cogroup(verdicts.groupBy("part")).applyInArrow(lambda d, v: _cut(id_at, text_at, window, buckets, frequent, digest, d, v), schema)
 
 
 def removal_digest(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +350,8 @@ def removal_digest(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     A word [^\\x20\\x09-\\x0D]+ is removed if a window of consecutive words covers it whose word sequence also starts in
     a document with a smaller doc_id; windows are judged on the input. The earliest document keeps the passage.
     Null and empty texts have no words; texts shorter than a window lose nothing. Rows with the same id count as one
-    document for this comparison; a null id is greater than all others. An empty table gives an empty result.
+    document for this comparison; ids are integers, and a null id counts as the greatest of 64 bits. An empty table
+    gives an empty result.
     """
     return _run(docs.select(id_col, text_col), id_col, text_col, window, True)
 
