@@ -44,3 +44,39 @@ def test_odd_rows_and_empty_table(spark):
     assert got(L.license_scan(docs(spark, ODD), templates=[("x", "word")])) == []
     twice = [(5, "Released under the MIT License.")] * 2
     assert len(got(L.license_scan(docs(spark, twice)))) == 2
+
+
+MIT = [t for n, t in L.TEMPLATES if n == "mit" and len(t) > 60][:3]
+
+
+def test_whole_licences_and_embedded_notices(spark):
+    comment = "# " + "\n#\n# ".join("\n# ".join(p[k : k + 60] for k in range(0, len(p), 60)) for p in MIT)
+    rows = [
+        (1, " ".join(MIT)),
+        (2, "\n\n".join(MIT)),
+        (3, comment.replace("-", "")),
+        (4, "Copyright (c) 2021 Jane Roe. All rights reserved. More text."),
+        (5, "We like it. Released under the MIT License. So do others, as we hear from them."),
+        (6, "A text without any notice. It has two sentences."),
+        (7, "Released under the MIT License.\n" * 3000),
+    ]
+    out = got(L.license_scan(docs(spark, rows)))
+    found = {(r[0], r[1], r[3]) for r in out}
+    assert {(1, "line", "mit"), (2, "text", "mit"), (4, "sentence", "all-rights-reserved"), (5, "sentence", "mit"), (7, "text", "mit")} <= found
+    assert any(r[0] == 3 and r[1] in ("text", "paragraph") and r[3] == "mit" for r in out)
+    assert not any(r[0] == 6 for r in out)
+
+
+def test_anchors_lose_nothing():
+    import random
+
+    known = [L.bigrams(L.normalised(t)) for _, t in L.TEMPLATES]
+    words, rng = set(L.anchors(known, 0.8)), random.Random(2)
+    assert not words & {"the", "and", "of", "to"}
+    for grams in known:
+        for _ in range(40):
+            kept = rng.sample(grams, rng.randint(0, len(grams)))
+            if 2 * len(kept) / (len(kept) + len(grams)) >= 0.8:
+                assert words & {w for g in kept for w in g.split()}
+        hard = [g for g in grams if not words & set(g.split())]  # the most that a text without anchors can share
+        assert 2 * len(hard) / (len(hard) + len(grams)) < 0.8

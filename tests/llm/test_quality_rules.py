@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from helpers import ODD, docs, table, words
+from pyspark.sql import functions as F
 
 from triplewright.llm import quality_rules as Q
 
@@ -61,3 +62,17 @@ def test_labels_agree(spark, sf):
     rows = Q.quality_rules(table(spark, big)).join(table(spark, big, "labels"), "doc_id").filter("n_words >= 50").collect()
     assert all(r.kept for r in rows if r.quality == 1)
     assert sum(not r.kept for r in rows if r.quality == 0) > 0
+
+
+def test_furniture_in_four_languages_and_teasers(spark):
+    bad = ["Zur Startseite gehen", "Alle Rechte vorbehalten 2020", "Lire la suite ici", "Tous droits r\u00e9serv\u00e9s", "P\u00e1gina siguiente", "Aviso legal y m\u00e1s", "This was the first part of what ...", "And so on\u2026 "]
+    good = ["He went on ... and came back.", "Une page ordinaire.", "Der Text endet hier."]
+    rows = [(k, t) for k, t in enumerate(bad + good)]
+    out = {r.doc_id: r.f for r in docs(spark, rows).select("doc_id", Q.line_fails(F.col("text")).alias("f")).collect()}
+    assert [out[k] for k, _ in rows] == [True] * len(bad) + [False] * len(good)
+
+
+def test_clashing_columns_pass_through(spark):
+    text = " ".join(f"word{k}" for k in range(80)) + "."
+    d = docs(spark, [(1, text), (2, "a")]).selectExpr("*", "7 AS __words", "8 AS __lines", "9 AS judged", "10 AS _JUDGED")
+    assert [tuple(r)[5:] + (r.text,) for r in Q.clean_documents(d).collect()] == [(7, 8, 9, 10, text)]

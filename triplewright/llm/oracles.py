@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import TEMPLATES, THRESHOLD, bigrams, normalised
-from .quality_rules import BOILERPLATE, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT, MIN_WORDS, NAVIGATION, SYMBOLS
+from .quality_rules import BOILERPLATE, ENDS, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT, MIN_WORDS, NAVIGATION, SYMBOLS
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,9 +40,11 @@ WITH k(license, g) AS (VALUES {_rows}),
 u AS (SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no FROM documents
       UNION ALL SELECT doc_id, 'text', text, 0 FROM documents WHERE contains(text, chr(10))
       UNION ALL SELECT doc_id, 'paragraph', body, unit_no FROM (
-        SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n')) AS body, generate_subscripts(regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n'), 1) - 1 AS unit_no FROM documents) WHERE contains(body, chr(10))),
+        SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[^\\p{{L}}\\p{{N}}\\n]*\\n')) AS body, generate_subscripts(regexp_split_to_array(text, '\\n[^\\p{{L}}\\p{{N}}\\n]*\\n'), 1) - 1 AS unit_no FROM documents) WHERE contains(body, chr(10))
+      UNION ALL SELECT doc_id, 'sentence', unnest(s), generate_subscripts(s, 1) - 1 FROM (
+        SELECT doc_id, flatten(list_filter(list_transform(string_split(text, chr(10)), lambda l: string_split(regexp_replace(l, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1))), lambda p: len(p) > 1)) AS s FROM documents)),
 w AS (SELECT doc_id, unit, unit_no, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM u WHERE body IS NOT NULL),
-b AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 2000),
+b AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2),
 x AS (SELECT doc_id, unit, unit_no, license, 2.0::DOUBLE * len(list_intersect(b.g, k.g)) / (len(b.g) + len(k.g)) AS dice FROM b JOIN k ON len(b.g) <= 3 * len(k.g))
 SELECT doc_id, unit, unit_no::INTEGER AS unit_no, license, dice
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) AS r FROM x WHERE dice >= {THRESHOLD}) WHERE r = 1
@@ -60,7 +62,7 @@ b AS (SELECT doc_id, line, translate(line, {SPACES}, '') AS body FROM l),
 f AS (SELECT *, length(body) AS size, length(body) - length(regexp_replace(body, '{_symbol_class}', '', 'g')) AS symbols, len(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+')) AS n FROM b WHERE body <> ''),
 v AS (SELECT *, (symbols >= 3 AND symbols * 20 >= size) OR NOT regexp_matches(body, '[\\p{{L}}\\p{{N}}]')
         OR (n >= 5 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
-        OR (n < 25 AND (length(line) - length(regexp_replace(line, '[|»]', '', 'g')) >= 3 OR regexp_matches(lower(line), '{_phrases}'))) AS fails FROM f),
+        OR (n < 25 AND (regexp_matches(line, '{ENDS}') OR length(line) - length(regexp_replace(line, '[|»]', '', 'g')) >= 3 OR regexp_matches(lower(line), '{_phrases}'))) AS fails FROM f),
 c AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(size) AS chars, coalesce(sum(size) FILTER (NOT fails), 0) AS kept_chars FROM v GROUP BY doc_id),
 a AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
              length(text) - length(regexp_replace(text, '{_symbol_class}', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

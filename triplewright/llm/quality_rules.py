@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, let
+from .common import SPACE_CHARS, SPACE_CLASS, free, let
 
 SYMBOLS = "#*$%&|<>"
 SYMBOL_CLASS = r"[#*$%&|<>]"
@@ -14,8 +14,20 @@ MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 FEW = 12  # repeated windows up to which they are looked up one by one
 # Phrases of page furniture, in lower case.
-NAVIGATION = ["home |", "| home", "next page", "previous page", "back to top", "skip to content", "read more", "click here", "sign in", "log in", "main menu", "site map"]
-BOILERPLATE = ["all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "use of cookies", "enable javascript", "subscribe to our newsletter", "lorem ipsum"]
+NAVIGATION = [
+    *("home |", "| home", "next page", "previous page", "back to top", "skip to content", "read more", "click here", "sign in", "log in", "main menu", "site map"),
+    *("n\u00e4chste seite", "vorherige seite", "zur startseite", "nach oben", "weiterlesen", "hier klicken", "jetzt anmelden", "zum inhalt springen"),
+    *("page suivante", "page pr\u00e9c\u00e9dente", "retour en haut", "lire la suite", "cliquez ici", "se connecter", "aller au contenu", "plan du site"),
+    *("p\u00e1gina siguiente", "p\u00e1gina anterior", "volver arriba", "leer m\u00e1s", "haga clic aqu\u00ed", "iniciar sesi\u00f3n", "saltar al contenido", "mapa del sitio"),
+]
+BOILERPLATE = [
+    *("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "use of cookies", "enable javascript", "subscribe to our newsletter", "lorem ipsum"),
+    *("alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "nutzungsbedingungen", "verwendung von cookies", "newsletter abonnieren"),
+    *("tous droits r\u00e9serv\u00e9s", "politique de confidentialit\u00e9", "conditions g\u00e9n\u00e9rales", "utilisation de cookies", "mentions l\u00e9gales"),
+    *("todos los derechos reservados", "pol\u00edtica de privacidad", "condiciones de uso", "uso de cookies", "aviso legal"),
+]
+# Fixed value: the end of a teaser.
+ENDS = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
 
 
 def _squeezed(c: Column) -> Column:
@@ -42,7 +54,8 @@ def line_fails(line: Column) -> Column:
 
     punctuation: 3 or more symbols (#*$%&|<>) that are a twentieth of its characters or more, or no letter and no digit;
     shouting: 5 words or more with capitals and without a lower-case letter;
-    navigation and boilerplate: under 25 words with a phrase of page furniture, or with 3 or more separators | or \u00bb.
+    navigation and boilerplate: under 25 words with a phrase of page furniture in English, German, French or Spanish,
+    with 3 or more separators | or \u00bb, or cut off by an ellipsis at the end.
     """
     symbols = _count(line, SYMBOL_CLASS)
     words = _count(line, f"[{SPACE_CLASS}]+") + 1
@@ -50,7 +63,7 @@ def line_fails(line: Column) -> Column:
     bars = _count(line, "[|\u00bb]")
     shouting = ~F.rlike(line, F.lit(r"\p{Ll}")) & F.rlike(line, F.lit(r"\p{Lu}")) & (words >= 5)
     marks = ((symbols >= 3) & (symbols * 20 >= F.length(_squeezed(line)))) | ~F.rlike(line, F.lit(r"[\p{L}\p{N}]"))
-    return _filled(line) & (marks | shouting | ((words < 25) & ((bars >= 3) | phrase)))
+    return _filled(line) & (marks | shouting | ((words < 25) & ((bars >= 3) | phrase | F.rlike(line, F.lit(ENDS)))))
 
 
 def _repeated(words: Column) -> Column:
@@ -82,9 +95,17 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(windows, counted))
 
 
-def _judged(docs: DataFrame, text_col: str, min_kept: int) -> DataFrame:
-    """docs with __words (n, chars, repeat), __lines (dup, all, passed), __symbols, __base_failed and __kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _judged(text: Column, min_kept: int) -> Column:
+    """n, chars, repeat, dup, symbols, base_failed, kept and passed (the lines) of a text, as one struct."""
+
+    def verdict(x: Column) -> Column:
+        w, l = x["w"], x["l"]
+        failed = (w["n"] < MIN_WORDS) | (100 * w["repeat"].cast("bigint") > MAX_REPEAT_PERCENT * w["n"].cast("bigint"))
+        left = 100 * F.length(_squeezed(F.array_join(l["passed"], "\n"))).cast("bigint") >= min_kept * w["chars"].cast("bigint")
+        kept = F.when(F.size(l["passed"]) == l["all"], F.lit(min_kept <= 100)).otherwise(left)
+        return F.struct(w["n"].alias("n"), w["chars"].alias("chars"), w["repeat"].alias("repeat"), l["dup"].alias("dup"), x["symbols"].alias("symbols"), failed.alias("base_failed"), (~failed & kept).alias("kept"), l["passed"].alias("passed"))
+
+    text = F.coalesce(text, F.lit(""))
     words = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("repeat")))
     lines = let(
         F.split(text, "\n"),
@@ -94,12 +115,7 @@ def _judged(docs: DataFrame, text_col: str, min_kept: int) -> DataFrame:
             F.filter(l, lambda x: ~line_fails(x)).alias("passed"),
         ),
     )
-    d = docs.withColumns({"__words": words, "__lines": lines, "__symbols": _count(text, SYMBOL_CLASS)})
-    w, passed = F.col("__words"), F.col("__lines.passed")
-    failed = (w["n"] < MIN_WORDS) | (100 * w["repeat"].cast("bigint") > MAX_REPEAT_PERCENT * w["n"].cast("bigint"))
-    left = 100 * F.length(_squeezed(F.array_join(passed, "\n"))).cast("bigint") >= min_kept * w["chars"].cast("bigint")
-    kept = F.when(F.size(passed) == F.col("__lines.all"), F.lit(min_kept <= 100)).otherwise(left)
-    return d.withColumns({"__base_failed": failed, "__kept": ~failed & kept})
+    return let(F.struct(words.alias("w"), lines.alias("l"), _count(text, SYMBOL_CLASS).alias("symbols")), verdict)
 
 
 def quality_rules(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,12 +126,13 @@ def quality_rules(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, id_col: str
     Null and empty texts have no words and fail. Repeated rows and null ids are kept; an empty table gives an empty
     result. Nothing is shuffled: each row is judged by its own text.
     """
-    d = _judged(docs.select(id_col, text_col), text_col, min_kept)
-    counts = {"n_words": "__words.n", "word_chars": "__words.chars", "n_symbols": "__symbols", "n_dup_lines": "__lines.dup", "n_repeat_words": "__words.repeat"}
-    return d.select(F.col(id_col).alias("doc_id"), *(F.col(c).cast("bigint").alias(n) for n, c in counts.items()), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    d = docs.select(F.col(id_col).alias("doc_id"), _judged(F.col(text_col), min_kept).alias("j"))
+    counts = {"n_words": "n", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "dup", "n_repeat_words": "repeat"}
+    return d.select("doc_id", *(F.col(f"j.{c}").cast("bigint").alias(n) for n, c in counts.items()), "j.base_failed", "j.kept")
 
 
 def clean_documents(docs: DataFrame, min_kept: int = MIN_KEPT_PERCENT, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality_rules() keeps, all columns, without the lines that fail."""
-    d = _judged(docs, text_col, min_kept).filter("__kept")
-    return d.withColumn(text_col, F.array_join("__lines.passed", "\n")).select(*docs.columns)
+    judged = free(docs, "judged")
+    d = docs.withColumn(judged, _judged(F.col(text_col), min_kept)).filter(F.col(judged)["kept"])
+    return d.withColumn(text_col, F.array_join(F.col(judged)["passed"], "\n")).select(*docs.columns)
