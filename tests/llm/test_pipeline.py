@@ -6,7 +6,7 @@ import pytest
 import test_jaccard_dedup
 import test_line_dedup
 import test_tokens
-from helpers import table, words
+from helpers import ODD, docs, table, words
 
 import corpus_pipeline
 
@@ -90,3 +90,20 @@ def test_other_columns_pass_through(spark, sf):
         d = step(spark, d, sf)
         assert re.search(r"named|score", ",".join(d.columns)) and d.columns[-1] == "fp"
     assert all(r.fp.a == r.doc_id for r in d.collect())
+
+
+def folder(spark, path, rows, labels):
+    docs(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_run_over_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and no labels: without a model every score is one half and all documents go on."""
+    odd = folder(spark, tmp_path / "odd", [*ODD, (None, None), (None, "a b c"), (None, "a b c")], [])
+    rows = corpus_pipeline.run(spark, odd).collect()
+    assert all(r.length > 0 for r in rows)
+    assert {r.doc_id for r in rows} >= {4, 8, 9, 10, 11}  # texts of their own; one stands for all without words
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    empty = folder(spark, tmp_path / "empty", [], [(1, 1, 0)])
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -179,3 +179,24 @@ def test_patterns_and_fit():
     counts = np.zeros(21)
     counts[[5, 15]] = 7
     assert abs(B.nnls(B.patterns(np.flatnonzero(counts), 20), counts).max() - 7) < 1
+
+
+def test_other_patterns_go_to_the_library(tmp_path, odd):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary(WORD), encoding="utf-8"))
+    for name, change in {
+        "lines": lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[^\n]+"),
+        "strip": lambda s: s["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": " "}, "content": "_"}),
+        "special": lambda s: s["added_tokens"][0].update(content="<| end |>"),
+    }.items():
+        other = json.loads(json.dumps(spec))
+        change(other)
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(other), encoding="utf-8")
+        units = Units(str(path), ids=False)
+        assert not units.drops_space and not units.keeps_space
+        library = Tokenizer.from_file(str(path))
+        assert units.encode([t.encode() for t in odd[:200]]) == [len(library.encode(t, add_special_tokens=False).ids) for t in odd[:200]]
