@@ -50,6 +50,12 @@ def segments(text: bytes, most: int = SEGMENT_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
+# The split pattern and normalisers of word-level vocabularies for which cuts at ASCII white space are proved:
+# no match of the pattern holds white space or depends on any beside it, nor does a normaliser join what it parts.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 class Units:
     """Token ids (as bytes of little-endian unsigned 32-bit integers) or token numbers of whole texts."""
 
@@ -66,8 +72,11 @@ class Units:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         pre = spec.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
-        self.drops_space = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        self.keeps_space = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec.get("normalizer")
+        normalizer = spec.get("normalizer")
+        steps = (normalizer or {}).get("normalizers", [normalizer] if normalizer else [])
+        tight = not any(c.isspace() for t in spec["added_tokens"] for c in t["content"])
+        self.drops_space = tight and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern") == {"Regex": WORD_SPLIT} and all(x in WORD_NORMALIZERS for x in steps)
+        self.keeps_space = tight and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not normalizer
         self.cache: dict[bytes, object] = {}
         self.pieces: dict[bytes, object] = {}
 
