@@ -22,9 +22,12 @@ def sign_code(embedding: Column) -> Column:
 
 
 def cuts(codes: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment: as many buckets a segment as there are codes, over about six."""
-    width = min(16.0, max(4.0, math.log2(max(2, codes)) - 2.5))
-    number = round(BITS / width)
+    """First bit and width of each segment: as many buckets a segment as there are codes, over about six.
+
+    Segments widen with the logarithm of the codes, so that a bucket holds about as many at every size; two are the least.
+    """
+    width = max(4.0, math.log2(max(2, codes)) - 2.5)
+    number = max(2, round(BITS / width))
     edges = [round(k * BITS / number) for k in range(number + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -71,7 +74,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     Codes are cut into m segments. Round r probes, for each open query, the buckets that differ from it in exactly r bits
     of a segment; then all codes within distance m * (r + 1) - 1 are known, and a query closes when its k-th verified
     distance is at most that. A pair is taken in the first round and segment that meet it, and only if its full distance
-    is not above the query's k-th so far.
+    is not above the query's k-th so far. Probes and buckets meet in a sort-merge join, in which adaptive execution
+    splits a bucket that very many codes share.
     Rows with a null id or code are neither indexed nor searched; repeated rows count once. With fewer than k other rows
     all are returned. An id with several codes has an entry for each. An empty table gives an empty result.
     """
