@@ -57,3 +57,45 @@ def test_features_are_counts_of_whole_texts():
     whole = b"word other. " * 200_000
     assert len(Q.features(whole)[0]) < 40
     assert len(Q.features(b"")[0]) == 0
+
+
+def plain_ftrl(examples, alpha=0.3, beta=1.0, l1=0.02, l2=0.5, epochs=Q.EPOCHS):
+    """Updates of McMahan and others (2013), one coordinate at a time."""
+    import math
+
+    z, n, bias = {}, {}, 1 << Q.BITS
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            index, value, label = examples[k]
+            x = dict(zip(index.tolist(), map(float, value), strict=True)) | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i, xi in x.items():
+                g = (p - label) * xi
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_weights_and_scores_equal_plain_updates(spark, sf):
+    rows = table(spark, sf).join(table(spark, sf, "labels"), "doc_id").orderBy("doc_id").limit(60).collect()
+    examples = [(*Q.features(r.text.encode()), r.quality) for r in rows]
+    want, got = plain_ftrl(examples), Q.ftrl(examples)
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items()) and set(np.flatnonzero(got)) <= set(want)
+    d = docs(spark, [(r.doc_id, r.text) for r in rows])
+    for r in Q.score(d, got).collect():
+        index, value = Q.features(next(x.text for x in rows if x.doc_id == r.doc_id).encode())
+        s = sum(want.get(i, 0.0) * float(v) for i, v in zip(index.tolist(), value, strict=True)) + want.get(1 << Q.BITS, 0.0)
+        assert abs(r.score - 1 / (1 + np.exp(-s))) < 1e-6
+
+
+def test_repeated_ids_train_once(spark, sf):
+    d, labels = table(spark, sf), table(spark, sf, "labels")
+    twice = d.unionByName(d)
+    assert (Q.train(twice, labels) == Q.train(d, labels)).all()

@@ -109,28 +109,31 @@ def probability(weights: np.ndarray, text: bytes) -> float:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float16).tobytes() for _, v in found], pa.binary())], ["key", "label", "at", "x"])
+        found = [features(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), batch.column("label"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "key", "label", "at", "x"])
 
 
 def _fit(table: pa.Table) -> pa.Table:
     table = table.sort_by([("key", "ascending"), ("label", "ascending")])
-    examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float16).astype(float), y) for y, a, x in zip(*(table.column(c).to_pylist() for c in ("label", "at", "x")), strict=True)]
+    examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for y, a, x in zip(*(table.column(c).to_pylist() for c in ("label", "at", "x")), strict=True)]
     return pa.table({"weights": pa.array([ftrl(examples).astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """Weights fitted on labelled documents: the sample (at most) of least hash, the same for any partitioning.
 
-    labels: id_col and label (0 or 1); rows with nulls are left out. The sample bounds what one task fits and what is
-    broadcast; only the weights reach the driver. Without labelled documents all weights are 0, and scores 0.5.
+    labels: id_col and label (0 or 1); rows with nulls are left out. The sample bounds what is broadcast and, with one
+    text an id where ids are repeated, what one task fits; only the weights reach the driver. Without labelled documents
+    all weights are 0, and scores 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select(row_key("doc_id", "text").alias("key"), "text", "label").mapInArrow(_featurise, "key bigint, label int, at binary, x binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = texts.select("doc_id", row_key("doc_id", "text").alias("key"), "text", "label").mapInArrow(_featurise, f"doc_id {kind}, key bigint, label int, at binary, x binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("key", "label", "at", "x")).alias("r")).select("r.*")
     fitted = rows.groupBy(F.lit(0).alias("model")).applyInArrow(lambda t: _fit(t), "weights binary").collect()
     return np.frombuffer(fitted[0][0], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
