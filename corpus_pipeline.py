@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triplewright.llm.best_fit_packing import pack
-from triplewright.llm.common import read, stage
+from triplewright.llm.common import read, release, stage
 from triplewright.llm.line_dedup import drop_boilerplate
 from triplewright.llm.quality_classifier import drop_low_quality
 from triplewright.llm.queries import vocabulary
@@ -18,8 +18,8 @@ from triplewright.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half go."""
-    return drop_low_quality(docs, read(spark, sf_dir, "labels"), threshold=0.5)
+    """Documents that score below 0.7, which the classifier marks 0, go."""
+    return drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each over the written result of the one before."""
     docs = read(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        if k:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -167,9 +167,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that score threshold or more."""
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that score threshold or more. Without labelled documents nothing is rejected."""
     weights = train(docs, labels.filter(~held_out(id_col)), id_col=id_col, text_col=text_col)
+    if not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index(text_col)
 
