@@ -270,6 +270,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     pairs = stage(rest.groupBy("bucket").applyInArrow(lambda t: _apart(percent, t), "u bigint, v bigint").distinct(), "across")
     release(held, shared, named)
     found = _links(pairs, nodes, plain, width, percent, "links-across")
-    roots = components(links.unionByName(found))
+    if found.limit(1).count():  # components so far are stars already
+        stars = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(stars.unionByName(found))
     groups = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
     return lookup(prints.select("doc_id", "key", "node"), groups, "node", "n", total).select("doc_id", "key", "group")
