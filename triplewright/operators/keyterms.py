@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,16 @@ def with_key_term(df: DataFrame, terms: list[str], text: str = "text", average:
     return df.filter(X.contains_any(X.abstract(F.col(text), average, False), terms, False))
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(trigram: str, size: int) -> int:
+    return int.from_bytes(hashlib.md5(trigram.encode()).digest()[:4], "little") % size
+
+
 def hashed_embedding(texts: list[str], size: int = 64) -> np.ndarray:
     """Deterministic stand-in for an embedding model: counts of hashed character trigrams."""
-    out = np.zeros((len(texts), size))
-    for row, t in enumerate(texts):
-        for k in range(max(1, len(t) - 2)):
-            out[row, int.from_bytes(hashlib.md5(t[k : k + 3].encode()).digest()[:4], "little") % size] += 1
-    return out
+    places = [[_place(t[k : k + 3], size) for k in range(max(1, len(t) - 2))] for t in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+    return np.bincount(rows * size + np.concatenate([np.array(p, np.int64) for p in places]), minlength=len(texts) * size).reshape(-1, size).astype(float)
 
 
 def keywords(df: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed_embedding, longest: int = 3, top: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
