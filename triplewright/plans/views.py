@@ -25,7 +25,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     none = F.array().cast("array<string>")
     six = lambda w, i: [F.element_at(w, 6 * i + k) for k in range(1, 7)]
-    every = lambda w: F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 6).cast("int") - 1), lambda i: F.format_string("(%s %s; %s %s; %s %s)", *six(w, i)))).otherwise(none)
+    every = lambda w: F.when(F.size(w) >= 6, F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 6).cast("int") - 1), lambda i: F.concat(*(x for mark, word in zip(("(", " ", "; ", " ", "; ", " "), six(w, i), strict=True) for x in (F.lit(mark), word)), F.lit(")")))).otherwise(none)
     rows = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(t) / PER_ANSWER).cast("int") - 1, F.lit(0))), lambda c: F.array_join(F.slice(t, c * PER_ANSWER + 1, PER_ANSWER), ", "))
     return read(spark, sf_dir, "documents").select(_file_name("txt").alias("paper_id"), F.posexplode(let(let(words, every), rows)).alias("chunk_no", "triplets"))
 
