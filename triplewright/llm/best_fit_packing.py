@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 from .byte_level import ByteLevelIds
 
 MIN_SLICE = 256
@@ -38,6 +38,7 @@ def _pieces(path: str, end_id: int, size: int, batches: Iterator[pa.RecordBatch]
                 crc.append(zlib.crc32(ids[4 * at : 4 * to]))
                 at, k = to, k + 1
         yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    tidy()
 
 
 def patterns(lengths: np.ndarray, size: int, depth: int = 3) -> np.ndarray:

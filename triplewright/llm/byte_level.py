@@ -35,9 +35,8 @@ class ByteLevelIds:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.open = lambda: Tokenizer.from_file(path)
+        self.tokenizer = None
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         letters = byte_letters()
         self.fast = None
@@ -46,8 +45,16 @@ class ByteLevelIds:
             ids = model["vocab"]
             made = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
             if all(a < b for a, b in zip(made, made[1:], strict=False)) and len(made) + 256 == len(ids):
-                self.raw = {i: bytes(letters[c] for c in token) for token, i in ids.items()}
-                self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.raw.items()}, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+                ranks = {bytes(letters[c] for c in token): i for token, i in ids.items()}
+                self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+
+    def library(self, text: str) -> list[int]:
+        """Ids by the tokenizers library, which is opened when first needed."""
+        if self.tokenizer is None:
+            self.tokenizer = self.open()
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
@@ -56,5 +63,5 @@ class ByteLevelIds:
             if self.fast and len(text) <= LONG_TEXT:
                 out.append(self.fast.encode_to_numpy(plain, allowed_special="all").astype("<u4", copy=False).tobytes())
             else:
-                out.append(np.asarray(self.tokenizer.encode_batch_fast([plain], add_special_tokens=False)[0].ids, "<u4").tobytes())
+                out.append(np.asarray(self.library(plain), "<u4").tobytes())
         return out

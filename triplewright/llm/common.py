@@ -38,6 +38,21 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
 
 
+def tidy() -> None:
+    """Give freed memory of this Python worker back, which lives on between tasks and shares its machine with the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

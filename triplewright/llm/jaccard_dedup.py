@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, release, row_key, stage
+from .common import lookup, release, row_key, stage, tidy
 from .components import components
 from .simhash_dedup import bits_of, forest
 from .tokenizer_units import segments
@@ -114,6 +114,7 @@ def _prints(width: int, percent: int, common: np.ndarray, batches: Iterator[pa.R
         prefixes = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, firsts))], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
         numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, prints)]
         yield pa.record_batch([batch.column("doc_id"), batch.column("key"), *numbers, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), prefixes], ["doc_id", "key", "node", "fp", "size", "bits", "prefix"])
+    tidy()
 
 
 def _sets(width: int, slots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +126,7 @@ def _sets(width: int, slots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> I
         mine = pa.array(first[marked])
         found = [packed(shingles(t or b"", width)[0]) for t in batch.column("text").take(mine).cast(pa.binary()).to_pylist()]
         yield pa.record_batch([pa.array(keys[marked]), pa.array(found, pa.binary())], ["key", "hashes"])
+    tidy()
 
 
 def _may(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

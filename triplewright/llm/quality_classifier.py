@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, tidy
 from .tokenizer_units import segments
 
 BITS = 18
@@ -178,5 +178,6 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([probability(shared.value, t or b"") >= threshold for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(kept, docs.schema)

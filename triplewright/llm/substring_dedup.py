@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, row_key
+from .common import free, row_key, tidy
 
 GROUP = 3  # words of a minimiser
 SECOND = 6  # words of the second minimiser, which splits the buckets of frequent first ones
@@ -328,6 +328,12 @@ def frequent_minimisers(docs: DataFrame, text_col: str, window: int, size: int,
     return np.sort(np.array([r[0] for r in weights.filter(F.col("size") > most).collect()], np.int64).view(np.uint64))
 
 
+def _tidied(result: pa.Table) -> pa.Table:
+    """result of a group, whose arrays are freed by now."""
+    tidy()
+    return result
+
+
 def _run(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
@@ -338,10 +344,10 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bool)
     frequent = frequent_minimisers(docs, text_col, window, size)
     part = free(docs, "part")
     parted = docs.withColumn(part, F.pmod(row_key(id_col, text_col), F.lit(parts)).cast("int"))
-    sent = parted.groupBy(part).applyInArrow(lambda t: _send(id_at, text_at, window, buckets, frequent, t), "bucket int, part int, strings binary, sizes binary, low binary, high binary")
-    verdicts = sent.groupBy("bucket").applyInArrow(lambda t: _decide(window, t), "part int, bucket int, runs binary")
+    sent = parted.groupBy(part).applyInArrow(lambda t: _tidied(_send(id_at, text_at, window, buckets, frequent, t)), "bucket int, part int, strings binary, sizes binary, low binary, high binary")
+    verdicts = sent.groupBy("bucket").applyInArrow(lambda t: _tidied(_decide(window, t)), "part int, bucket int, runs binary")
     schema = T.StructType.fromDDL(f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string") if digest else docs.schema
-    return parted.groupBy(part).cogroup(verdicts.groupBy("part")).applyInArrow(lambda d, v: _cut(id_at, text_at, window, buckets, frequent, digest, d, v), schema)
+    return parted.groupBy(part).cogroup(verdicts.groupBy("part")).applyInArrow(lambda d, v: _tidied(_cut(id_at, text_at, window, buckets, frequent, digest, d, v)), schema)
 
 
 def removal_digest(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
