@@ -21,13 +21,16 @@ def parsed(answers: DataFrame) -> DataFrame:
     """paper_id, pos, subject, predicate, object of the triples in answers (paper_id, triplets, chunk_no).
 
     pos counts through all rows of a paper, in the order of chunk_no, so (paper_id, pos) names a triple. Without
-    chunk_no a paper's rows are taken in the order of their text. Rows without triples are left out.
+    chunk_no a paper's rows are taken in the order of their text. Rows without triples are left out. Answers are shuffled
+    as they are and parsed afterwards, so that rows, not triples, are sorted, and numbers run on from row to row.
     """
     order = "chunk_no" if "chunk_no" in answers.columns else "triplets"
-    said = answers.filter(F.col("triplets").isNotNull())
-    found = said.select("paper_id", F.col(order).alias("row"), F.posexplode(T.parse(F.col("triplets"))).alias("k", "t"))
-    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("row", "k")) - 1
-    return found.select("paper_id", place.alias("pos"), "t.*")
+    said = answers.filter(F.col("triplets").isNotNull()).select("paper_id", F.col(order).alias("row"), "triplets").repartition("paper_id")
+    found = said.select("paper_id", "row", T.parse(F.col("triplets")).alias("found"))
+    earlier = Window.partitionBy("paper_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.select("paper_id", "found", F.coalesce(F.sum(F.size("found")).over(earlier), F.lit(0)).alias("first"))
+    numbered = placed.select("paper_id", "first", F.posexplode("found").alias("k", "t"))
+    return numbered.select("paper_id", (F.col("first") + F.col("k")).cast("int").alias("pos"), "t.*")
 
 
 def mapped(df: DataFrame, f: Callable, fields: tuple[str, ...] = T.FIELDS) -> DataFrame:

@@ -67,7 +67,7 @@ def filtered(triples: DataFrame, books: DataFrame, papers: DataFrame, settings:
     """
     s = settings or Filtering()
     chosen = selection.sample(books, s.subset_book_corpus, "book_id", s.seed)
-    counts = vocabulary.category_counts(papers, s.min_num_counts_term_in_single_paper)
+    counts = stage(vocabulary.category_counts(papers, s.min_num_counts_term_in_single_paper), "counts")  # read by scores and entropies
     files = papers.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"))
     sizes = [d.agg(F.count(F.lit(1))).scalar() for d in (chosen, papers)]
     words = stage(removal_words(triples, chosen, counts, files, *sizes, s, entropy), "removal")

@@ -112,27 +112,28 @@ def _in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.document_frequency(views.books(spark, sf_dir), IN_BOOK)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = _counts(spark, sf_dir) if counts is None else counts
     n_books, n_papers = (d.agg(F.count(F.lit(1))).scalar() for d in (views.books(spark, sf_dir), views.read(spark, sf_dir, "documents")))
-    return vocabulary.term_scores(_in_books(spark, sf_dir), vocabulary.pooled(_counts(spark, sf_dir)), n_books, n_papers, LEAST_PAPERS).withColumn("score", F.round("score", 9))
+    return vocabulary.term_scores(_in_books(spark, sf_dir), vocabulary.pooled(counts), n_books, n_papers, LEAST_PAPERS).withColumn("score", F.round("score", 9))
 
 
-def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.entropies(_counts(spark, sf_dir), _files(spark, sf_dir), LEAST_PAPERS).withColumn("entropy", F.round("entropy", 9))
+def _entropy(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    return vocabulary.entropies(_counts(spark, sf_dir) if counts is None else counts, _files(spark, sf_dir), LEAST_PAPERS).withColumn("entropy", F.round("entropy", 9))
 
 
-def _low(spark: SparkSession, sf_dir: str, cleaned: DataFrame) -> DataFrame:
-    return vocabulary.lowest_words(vocabulary.vocabulary(cleaned), _scores(spark, sf_dir), CUTOFF)
+def _low(spark: SparkSession, sf_dir: str, cleaned: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    return vocabulary.lowest_words(vocabulary.vocabulary(cleaned), _scores(spark, sf_dir, counts), CUTOFF)
 
 
-def _high(spark: SparkSession, sf_dir: str, cleaned: DataFrame) -> DataFrame:
-    return vocabulary.high_entropy_words(vocabulary.vocabulary(cleaned), _entropy(spark, sf_dir), PERCENTILE)
+def _high(spark: SparkSession, sf_dir: str, cleaned: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    return vocabulary.high_entropy_words(vocabulary.vocabulary(cleaned), _entropy(spark, sf_dir, counts), PERCENTILE)
 
 
 def _removal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The cleaned triples, made once, and the words to remove."""
-    cleaned = stage(_cleaned(spark, sf_dir), "cleaned")
-    return cleaned, vocabulary.union(vocabulary.rare_words(cleaned, LEAST_FREQUENCY), _low(spark, sf_dir, cleaned), _high(spark, sf_dir, cleaned))
+    """The cleaned triples and the words to remove; triples and word counts, which several lists read, are made once."""
+    cleaned, counts = stage(_cleaned(spark, sf_dir), "cleaned"), stage(_counts(spark, sf_dir), "counts")
+    return cleaned, vocabulary.union(vocabulary.rare_words(cleaned, LEAST_FREQUENCY), _low(spark, sf_dir, cleaned, counts), _high(spark, sf_dir, cleaned, counts))
 
 
 @query(f"WITH {PARSED} SELECT * FROM parsed")
