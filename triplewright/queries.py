@@ -476,12 +476,21 @@ def abbrev_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "documents").select("doc_id", abbreviations.expanded(lines).alias("lines"))
 
 
-@query()
+_lemma = "array_to_string(list_transform({0}, lambda w: CASE WHEN ends_with(w, 's') AND length(w) > 3 THEN substring(w, 1, (length(w) - 1)::INTEGER) ELSE w END), ' ')"
+
+
+@query(f"WITH {PARSED} SELECT paper_id, pos, {', '.join(_lemma.format(_tokens(c)) + ' AS ' + c for c in ('subject', 'predicate', 'object'))} FROM parsed")
 def lemma_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lemmatised(T.parsed(views.answers(spark, sf_dir)), lambda x: " ".join(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in x.split()))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT doc_id::VARCHAR AS paper_id, string_split(text, chr(10)) AS l FROM documents),
+r AS (SELECT paper_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS s FROM t),
+c AS (SELECT paper_id, (i // 15)::INTEGER AS chunk_no, string_agg(s, ' ' ORDER BY i) AS text FROM r GROUP BY paper_id, i // 15),
+w AS (SELECT *, {_tokens('text')} AS w FROM c)
+SELECT paper_id, chunk_no, text, CASE WHEN len(w) > 2 THEN '(' || w[1] || '; ' || w[2] || '; ' || w[3] || ')' ELSE '' END AS triplets FROM w"""
+)
 def llm_extract_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = views.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.split("text", "\n").alias("sentences"))
     return inference.extract(texts)
