@@ -275,3 +275,17 @@ def test_keywords(spark):
     out = keyterms.keywords(df).collect()
     assert {r.doc_id for r in out} == {1} and len(out) == 5 and out[0].score == pytest.approx(1.0)
     assert keyterms.keyword_counts(keyterms.keywords(df)).count() == 5
+
+
+def test_numbers_of_triples_run_through_a_papers_answers(spark):
+    rows = [("p", 2, "(g; h; i) x (j; k; l)"), ("p", 0, "(a; b; c)\n(d; e; f)"), ("p", 1, "none"), ("p", 3, None), ("q", 5, "(m; n; o)"), (None, 0, "(r; s; t)")]
+    found = T.parsed(spark.createDataFrame(rows, "paper_id string, chunk_no int, triplets string"))
+    assert dict(found.dtypes)["pos"] == "int"
+    assert {(r.paper_id, r.pos, r.subject) for r in found.collect()} == {("p", 0, "a"), ("p", 1, "d"), ("p", 2, "g"), ("p", 3, "j"), ("q", 0, "m"), (None, 0, "r")}
+
+
+def test_answers_without_numbers_are_taken_in_the_order_of_their_text(spark):
+    rows = [("p", "(c; d; e)"), ("p", "(a; b; c)(d; e; f)"), ("p", "(a; b; c)(d; e; f)")]
+    found = T.parsed(spark.createDataFrame(rows, "paper_id string, triplets string")).orderBy("pos").collect()
+    assert [(r.pos, r.subject) for r in found] == [(0, "a"), (1, "d"), (2, "a"), (3, "d"), (4, "c")]
+    assert T.parsed(spark.createDataFrame([], "paper_id string, triplets string")).count() == 0
