@@ -49,3 +49,16 @@ def test_segments_cover_the_code():
     for n in (0, 1, 50, 10_000, 10**9):
         cut = S.cuts(n)
         assert cut[0][0] == 0 and sum(w for _, w in cut) == 64 and all(a + w == b for (a, w), (b, _) in zip(cut, cut[1:], strict=False))
+
+
+def test_query_leaves_out_null_and_odd_vectors(spark, tmp_path):
+    from triplewright.llm.queries import op2_exact_topk_search
+
+    one = lambda k: [1.0 if b == k else -1.0 for b in range(64)]
+    rows = [(k, one(k), 1) for k in range(30)] + [(20, one(20), 1), (40, None, 1), (41, [], 1), (42, [None] + one(3)[1:], 1), (None, one(3), 1), (60, one(5), None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in op2_exact_topk_search(spark, str(tmp_path)).collect())
+    codes = {(k, 1 << k) for k in range(30)} | {(60, 1 << 5)}
+    assert got == brute(codes, [(i, c) for i, c in codes if i % 20 == 0], 10)
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert op2_exact_topk_search(spark, f"{tmp_path}/none").count() == 0
