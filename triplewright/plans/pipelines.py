@@ -12,7 +12,7 @@ from ..functions import abbreviations
 from ..functions import text as X
 from ..operators import inference, patents, selection, vocabulary
 from ..operators import triples as T
-from ..staging import stage
+from ..staging import release, stage
 
 
 def loaded(papers: DataFrame, s: Loading | None = None, done: DataFrame | None = None) -> DataFrame:
@@ -41,14 +41,18 @@ def normalised(texts: DataFrame, expand: bool = True) -> DataFrame:
 
 
 def removal_words(triples: DataFrame, books: DataFrame, counts: DataFrame, files: DataFrame, n_books: int | Column, n_papers: int | Column, s: Filtering, entropy: DataFrame | None = None) -> DataFrame:
-    """Words to remove: rare ones, those of lowest score against the books, and those of high entropy."""
+    """Words to remove: rare ones, those of lowest score against the books, and those of high entropy.
+
+    Scores and entropies are rounded to 9 digits, so that cuts don't hang on the order in which tasks add them up.
+    """
+    steady = lambda table, value: table.withColumn(value, F.round(value, 9))
     words = vocabulary.vocabulary(triples)
     in_books = vocabulary.document_frequency(books, s.min_num_counts_term_in_single_book, max_length=s.max_length_book)
     scores = vocabulary.term_scores(in_books, vocabulary.pooled(counts), n_books, n_papers, s.min_num_paper_appearances_term_bookcorpus_scores)
-    lists = [vocabulary.rare_words(triples, s.min_num_appearances_for_frequency), vocabulary.lowest_words(words, scores, s.cutoff_bookcorpus)]
+    lists = [vocabulary.rare_words(triples, s.min_num_appearances_for_frequency), vocabulary.lowest_words(words, steady(scores, "score"), s.cutoff_bookcorpus)]
     if s.use_entropy:
         entropy = vocabulary.entropies(counts, files, s.min_num_paper_appearances_term) if entropy is None else entropy
-        lists.append(vocabulary.high_entropy_words(words, entropy, s.entropy_percentile_threshold))
+        lists.append(vocabulary.high_entropy_words(words, steady(entropy, "entropy"), s.entropy_percentile_threshold))
     return vocabulary.union(*lists)
 
 
@@ -62,8 +66,9 @@ def papers_to_triples(papers: DataFrame, settings: Settings | None = None, model
 def filtered(triples: DataFrame, books: DataFrame, papers: DataFrame, settings: Filtering | None = None, entropy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Kept and removed triples by the words that are rare, close to the books or of high entropy over categories.
 
-    triples: staged or stored, for they are read four times. books: book_id, text; settings choose the share of them that
-    is used. papers: category, text, which scores and entropies are counted over.
+    triples: staged or stored, for they are read four times; they meet the removal words once, for both results. books:
+    book_id, text; settings choose the share of them that is used. papers: category, text, which scores and entropies
+    are counted over.
     """
     s = settings or Filtering()
     chosen = selection.sample(books, s.subset_book_corpus, "book_id", s.seed)
@@ -71,7 +76,9 @@ def filtered(triples: DataFrame, books: DataFrame, papers: DataFrame, settings:
     files = papers.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"))
     sizes = [d.agg(F.count(F.lit(1))).scalar() for d in (chosen, papers)]
     words = stage(removal_words(triples, chosen, counts, files, *sizes, s, entropy), "removal")
-    return vocabulary.kept_triples(triples, words), vocabulary.removed_triples(triples, words)
+    split = stage(vocabulary.split_by_words(triples, words), "split")
+    release(counts, words)
+    return split.filter("kept").drop("kept"), split.filter("NOT kept").drop("kept")
 
 
 def patents_to_texts(documents: DataFrame, keywords: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -506,6 +506,25 @@ def papers_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.papers_to_triples(views.papers(spark, sf_dir))
 
 
+@query(f"WITH {SPLIT} SELECT paper_id, pos, kept FROM split")
+def filtered_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both results of the whole vocabulary filter, over all books."""
+    settings = Filtering(
+        min_num_appearances_for_frequency=LEAST_FREQUENCY,
+        min_num_counts_term_in_single_book=IN_BOOK,
+        min_num_counts_term_in_single_paper=IN_PAPER,
+        min_num_paper_appearances_term_bookcorpus_scores=LEAST_PAPERS,
+        min_num_paper_appearances_term=LEAST_PAPERS,
+        cutoff_bookcorpus=CUTOFF,
+        entropy_percentile_threshold=PERCENTILE,
+        use_entropy=True,
+        max_length_book=None,
+        subset_book_corpus=None,
+    )
+    kept, removed = pipelines.filtered(stage(_cleaned(spark, sf_dir), "cleaned"), views.books(spark, sf_dir), views.labelled_papers(spark, sf_dir), settings)
+    return kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False))).select("paper_id", "pos", "kept")
+
+
 @query()
 def papers_to_final_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = stage(pipelines.papers_to_triples(views.papers(spark, sf_dir)), "cleaned")
